@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, classifier, decontaminate, language, quality_rules, toxicity
 
 QUERIES = {
+    "op2_quality": classifier.op2_quality,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_language": language.op9_language,
 }
 
 SQL = {
