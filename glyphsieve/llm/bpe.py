@@ -50,6 +50,25 @@ def _encode_rows(sent, pattern: str):
     return run
 
 
+def _digest_rows(sent, pattern: str):
+    """rows (uid, id, piece, text) -> rows (id, n_tokens, ids_sha256, decoded_sha256): both ways in one worker, a text at a time."""
+
+    def run(batches):
+        enc = _encoding(sent.value, pattern)
+        core = enc._core_bpe
+        for b in batches:
+            n, ids_sha, out_sha = [], [], []
+            for t in b.column(3):
+                t = t.as_py()
+                ids = enc.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False) if t else np.empty(0, "<u4")
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                out_sha.append(hashlib.sha256(core.decode_bytes(ids.tolist()) if len(ids) else b"").hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
 def _decode_rows(sent, pattern: str):
     def run(batches):
         core = _encoding(sent.value, pattern)._core_bpe
@@ -134,10 +153,14 @@ def decode(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
-    short, long = (decode(x, vocabulary, pattern) for x in encode(docs, vocabulary, pattern, id_col, text_col, chunk_chars, overlap))
+    kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    short, _ = pieces(docs, id_col, text_col, pattern, chunk_chars, overlap)
+    short = short.mapInArrow(_digest_rows(sent, pattern), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    _, long = encode(docs, vocabulary, pattern, id_col, text_col, chunk_chars, overlap)
     joined = lambda c: F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", c))), lambda x: F.hex(x[c])), ""))
-    long = long.groupBy("uid", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), joined("ids").alias("ids"), joined("decoded").alias("decoded"))
-    return short.select("doc_id", "n_tokens", "ids", "decoded").unionByName(long.select("doc_id", "n_tokens", "ids", "decoded")).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    long = decode(long, vocabulary, pattern).groupBy("uid", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), joined("ids").alias("ids"), joined("decoded").alias("decoded"))
+    return short.unionByName(long.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:

@@ -14,7 +14,16 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bounded(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let no Arrow batch carry more than most bytes: with long texts, batches set what a Python worker needs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "").lower().rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
