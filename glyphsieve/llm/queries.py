@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, decontaminate, language, quality_rules, toxicity
+from . import bpe, classifier, decontaminate, html, language, quality_rules, toxicity, warc
 
 QUERIES = {
     "op2_quality": classifier.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_html": html.op5_html,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language": language.op9_language,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
