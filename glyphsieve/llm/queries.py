@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, decontaminate, html, language, quality_rules, toxicity, warc
+from . import bpe, classifier, decontaminate, html, language, passages, quality_rules, toxicity, warc
 
 QUERIES = {
+    "op1_passages": passages.op1_passages,
     "op2_quality": classifier.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
