@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, decontaminate, html, language, passages, quality_rules, toxicity, warc
+from . import bpe, classifier, decontaminate, html, language, minhash, passages, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_html": html.op5_html,
+    "op6_near_duplicates": minhash.op6_near_duplicates,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language": language.op9_language,
