@@ -8,7 +8,8 @@ for all shingles of a batch at once, only while they can still lower a register.
 
 Runs of registers make bands; documents that share a band meet in a bucket. Buckets are not expanded into pairs: each
 member is compared with the bucket's first member, then those left over with the first of these, and last, members that
-still belong to different classes, where lengths and one-bit sketches allow the similarity. Every link is verified on
+still belong to different classes, where lengths, one-bit sketches and
+the weight that a bag shares with any other allow the similarity. Every link is verified on
 the bags themselves. Classes are the connected components.
 
 Words are runs of characters other than white space, lower-cased. Texts with the same words count as one bag, whatever
@@ -34,6 +35,7 @@ BANDS = 25
 ROWS = 5
 #: Sketches of 128 bits: at similarity 0.8 a mean of 12.8 bits differ, with a deviation of 3.4; more than this many mean less than 0.8.
 MAX_BITS = 29
+CLOSE_BITS = 12
 
 
 def _intervals(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,6 +189,21 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify_rows(similarity), "a bigint, b bigint")
 
 
+def _shingle_rows(batches):
+    """rows (uid, text) -> rows (uid, g, c): the distinct shingles of each text and how often each stands in it."""
+    hashes = WordHashes()
+    for rows in batches:
+        for uid, t in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            g, c = bag_of(t.as_py().lower().split(), hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), uid)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["uid", "g", "c"])
+
+
+def alone(texts: DataFrame) -> DataFrame:
+    """(uid, alone): for each text the weight of its shingles that no other text of these has; texts without such are absent."""
+    shingles = texts.select("uid", "text").mapInArrow(_shingle_rows, "uid bigint, g bigint, c bigint")
+    return shingles.groupBy("g").agg(F.count("*").alias("k"), F.min("uid").alias("uid"), F.min("c").alias("c")).where("k = 1").groupBy("uid").agg(F.sum("c").alias("alone"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(uid, top): for each node of links (a, b), the least node that it is connected to. Alternates large-star and small-star steps until nothing changes; no node's links gather in one task."""
     edges, at = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -207,6 +224,48 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("uid"), F.col("v").alias("top"))
 
 
+def open_links(now: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all classes that a link connects, of members (bucket, uid, top, n, s1, s2, shared).
+
+    A member of a class is held against the union of each larger class that it meets, and goes on to that class's members
+    only if enough of its weight lies in that union: an exact bound whose cost follows members times classes, not pairs.
+    Classes of one member are held against each other by length, sketch and shared weight.
+    """
+    allowed = lambda m, x, y: (1 + similarity) * m >= similarity * (x + y) - 1e-6
+    one = now.select("uid", "top", "n", "s1", "s2", "shared").distinct()
+    size = one.groupBy("top").agg(F.count("*").alias("size"), F.min("n").alias("least_n"))
+    member = now.join(size.select("top", "size"), "top").where(F.col("shared") >= similarity * F.col("n") - 1e-6)
+    member, member_at = cut(member, "member")
+    near = F.expr(f"bit_count(s1 ^ s1_y) + bit_count(s2 ^ s2_y) <= {MAX_BITS}") & (F.least("n", "n_y") >= similarity * F.greatest("n", "n_y") - 1e-6)
+    lone = member.where("size = 1").select("bucket", "uid", "n", "s1", "s2", "shared")
+    other = lone.select("bucket", *(F.col(c).alias(c + "_y") for c in lone.columns if c != "bucket"))
+    lone_pairs = lone.join(other, "bucket").where((F.col("uid") < F.col("uid_y")) & near & allowed(F.least("shared", "shared_y"), F.col("n"), F.col("n_y"))).select(F.col("uid").alias("a"), F.col("uid_y").alias("b")).distinct()
+    # members and the larger classes that they meet
+    larger = now.select("bucket", "top").distinct().join(size.where("size > 1"), "top").select("bucket", F.col("top").alias("y"), F.col("size").alias("size_y"), "least_n")
+    faced = member.join(larger, "bucket").where((F.col("top") != F.col("y")) & ((F.col("size_y") > F.col("size")) | ((F.col("size_y") == F.col("size")) & (F.col("y") > F.col("top"))))).select("uid", "y", "n", "least_n").distinct()
+    faced, faced_at = cut(faced, "faced")
+    shingles, shingles_at = cut(texts.join(one.select("uid"), "uid", "left_semi").select("uid", "text").mapInArrow(_shingle_rows, "uid bigint, g bigint, c bigint"), "shingles")
+    union = shingles.join(one.select("uid", F.col("top").alias("y")), "uid").join(faced.select("y").distinct(), "y", "left_semi").groupBy("y", "g").agg(F.max("c").alias("c_y"))
+    mass = faced.join(shingles, "uid").join(union, ["y", "g"]).groupBy("uid", "y").agg(F.first("n").alias("n"), F.first("least_n").alias("least_n"), F.sum(F.least("c", "c_y")).alias("m"))
+    going = mass.where(allowed(F.col("m"), F.col("n"), F.greatest(F.lit(similarity) * F.col("n"), F.col("least_n")))).select("uid", "y", "m")
+    going, going_at = cut(going, "going")
+    x = now.join(going, "uid").select("bucket", "uid", "y", "m", "n", "s1", "s2")
+    y = now.select("bucket", F.col("top").alias("y"), *(F.col(c).alias(c + "_y") for c in ("uid", "n", "s1", "s2", "shared")))
+    differ = F.expr("bit_count(s1 ^ s1_y) + bit_count(s2 ^ s2_y)")
+    pair = (F.least("uid", "uid_y").alias("a"), F.greatest("uid", "uid_y").alias("b"))
+    fits = near & allowed(F.least("m", "shared_y"), F.col("n"), F.col("n_y"))
+    # one link to a class is enough: the member that looks closest first
+    closest = x.join(y, ["bucket", "y"]).where(fits & (differ <= CLOSE_BITS)).groupBy("uid", "y").agg(F.min(F.struct(differ.alias("bits"), "uid_y")).alias("best")).select("uid", "y", F.col("best.uid_y").alias("uid_y"))
+    linked, linked_at = cut(verified(closest.select(*pair), texts, similarity), "closest")
+    ends = linked.select(F.col("a").alias("uid"), F.col("b").alias("uid_y")).union(linked.select(F.col("b").alias("uid"), F.col("a").alias("uid_y")))
+    done = ends.join(one.select(F.col("uid").alias("uid_y"), F.col("top").alias("y")), "uid_y").select("uid", "y").distinct()
+    class_pairs = x.join(done, ["uid", "y"], "left_anti").join(y, ["bucket", "y"]).where(fits).select(*pair).distinct()
+    pairs, pairs_at = cut(lone_pairs.union(class_pairs), "pairs")
+    links, _ = cut(linked.union(verified(pairs, texts, similarity)), "links")
+    remove(now.sparkSession, member_at, faced_at, shingles_at, going_at, linked_at, pairs_at)
+    return links
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """A row per document: uid, doc_id, class_id (the least doc_id of its class), n_class, and first: whether it is the class's first."""
     spark = docs.sparkSession
@@ -238,14 +297,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     open_buckets = rest.select("bucket").distinct()
     now = met.join(open_buckets, "bucket", "left_semi").join(top, "uid", "left").withColumn("top", F.coalesce("top", "uid")).join(sketch, "uid")
     now, now_at = cut(now.select("bucket", "uid", "top", "n", "s1", "s2"), "now")
-    x, y = now.select(*(F.col(c).alias(c + "_x") for c in now.columns)), now.select(*(F.col(c).alias(c + "_y") for c in now.columns))
-    near = F.expr(f"bit_count(s1_x ^ s1_y) + bit_count(s2_x ^ s2_y) <= {MAX_BITS}") & (F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y"))
-    last = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("uid_x") < F.col("uid_y")) & (F.col("top_x") != F.col("top_y")) & near)
-    last = last.select(F.col("uid_x").alias("a"), F.col("uid_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    last, _ = cut(verified(last, texts, similarity), "links")
-    links = links.union(last)
+    # what two bags share is at most what each shares with any: an exact bound that leaves few of the pairs
+    own, own_at = cut(alone(texts.join(now.select("uid").distinct(), "uid", "left_semi")), "alone")
+    now = now.join(own, "uid", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    links = links.union(open_links(now, texts, similarity))
     top, top_at = cut(components(links), "tops")
-    remove(spark, met_at, texts_at, placed_at, rest_at, now_at)
+    remove(spark, met_at, texts_at, placed_at, rest_at, now_at, own_at)
     # classes by sums, then by documents
     by_sum, by_sum_at = cut(single.select("sum", "uid").join(top, "uid", "left").select("sum", F.coalesce("top", "uid").alias("top")), "by_sum")
     placed, _ = cut(signed.select("uid", "sum").join(by_sum, "sum").join(base.select("uid", "doc_id"), "uid").select("uid", "doc_id", "top"), "classes")
