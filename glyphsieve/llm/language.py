@@ -52,24 +52,28 @@ def _presence_rows(batches):
 
 
 def fit(x: np.ndarray, y: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list, np.ndarray]:
-    """The languages, by name, and the matrix that maps presence over the root of its sum to one value for each."""
+    """The languages, by name, and the matrix that maps presence over the root of its sum to one value for each. x: packed bits, a row a text."""
     names = sorted(set(y.tolist()))
-    own = x.astype(np.float32)
-    own /= np.sqrt(np.maximum(own.sum(1, keepdims=True), 1))
+
+    def own(rows: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(x[rows], axis=1).astype(np.float32)
+        return bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
+
     # landmarks in turn from each language
     turn = np.zeros(len(y), np.int64)
     for name in names:
         mine = np.flatnonzero(y == name)
         turn[mine] = np.arange(len(mine))
-    chosen = own[np.argsort(turn, kind="stable")[:landmarks]]
+    chosen = own(np.argsort(turn, kind="stable")[:landmarks])
     values, vectors = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = (own @ chosen.T).astype(np.float64) @ root
+    # a few texts at a time: unpacked, each takes 2**BITS floats
+    features = np.concatenate([(own(np.arange(k, min(k + 64, len(y)))) @ chosen.T).astype(np.float64) for k in range(0, len(y), 64)]) @ root
     target = np.where(y[:, None] == np.array(names)[None, :], 1.0, -1.0)
     share = np.array([1 / max((y == v).sum(), 1) for v in y])[:, None] * len(y) / len(names)  # languages weigh the same
     weights = np.linalg.solve(features.T @ (share * features) + ridge * len(y) * np.eye(features.shape[1]), features.T @ (share * target))
-    return names, (chosen.T @ (root @ weights)).astype(np.float32)
+    return names, (chosen.T @ (root @ weights).astype(np.float32)).astype(np.float32)
 
 
 def learn(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list, np.ndarray]:
@@ -83,7 +87,7 @@ def learn(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text",
     sample = own.join(F.broadcast(shares), "lang").where(place < F.col("upto")).select("text", "lang").mapInArrow(_presence_rows, "lang string, x binary").orderBy("lang", "x").toPandas()
     if not len(sample):
         return [], np.zeros((1 << BITS, 0), np.float32)
-    x = np.unpackbits(np.frombuffer(b"".join(sample["x"]), np.uint8)).reshape(len(sample), 1 << BITS)
+    x = np.frombuffer(b"".join(sample["x"]), np.uint8).reshape(len(sample), (1 << BITS) // 8)
     return fit(x, sample["lang"].to_numpy(str))
 
 
