@@ -74,24 +74,27 @@ def report(found: DataFrame, limit_items: int = 2) -> DataFrame:
     span = F.struct("pos", "size")
     per = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("pos").isNotNull(), span))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.expr("aggregate(spans, struct(0L as n, 0L as upto), (a, s) -> struct(a.n + greatest(0L, s.pos + s.size - greatest(a.upto, s.pos)) as n, greatest(a.upto, s.pos + s.size) as upto), a -> a.n)")
-    return per.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("items") >= limit_items).alias("contaminated"), "spans")
+    return per.select("uid", "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("items") >= limit_items).alias("contaminated"), "spans")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 8, limit_items: int = 2, id_col: str = "doc_id") -> DataFrame:
-    """The documents that are not contaminated, as they came; ids that repeat go or stay together."""
-    bad = report(hits(docs, benchmark, width, id_col), limit_items).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
-
-
-def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, words): the words of each document that lie in no shared window, in order."""
-    per = report(hits(docs, benchmark, width, id_col, text_col)).select(F.col("doc_id").alias("_id"), "spans")
-    own = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).join(per, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return own.select("doc_id", F.expr("filter(w, (x, i) -> not exists(spans, s -> i + 1 >= s.pos and i + 1 < s.pos + s.size))").alias("words"))
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 8, limit_items: int = 2, id_col: str = "doc_id", text_col: str = "text", n_col: str = "n_chars") -> DataFrame:
+    """docs (a table as read) without contaminated documents; others lose the words that lie in shared windows, each with the gap before it. Null texts stay."""
+    spans = report(hits(docs, benchmark, width, id_col, text_col), limit_items).where(F.size("spans") > 0).select(F.col("uid").alias("_uid"), F.col("contaminated").alias("_contaminated"), F.col("spans").alias("_spans"))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    joined = numbered.join(spans, F.col("_row") == F.col("_uid"), "left").where(~F.coalesce("_contaminated", F.lit(False)))
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]".replace("\\x60", "\\x40\\x5B-\\x60")  # before A-Z are lower-cased
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({word.replace('[^', '[')}*{word}+)"), F.lit(1))
+    tail = F.regexp_extract(F.col(text_col), f"({word.replace('[^', '[')}*)$", 1)
+    stay = F.filter(pieces, lambda _, i: ~F.exists("_spans", lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["size"])))
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(stay, ""), tail))
+    joined = joined.withColumn(text_col, text)
+    if n_col in docs.columns:
+        joined = joined.withColumn(n_col, F.when(F.col("_spans").isNull(), F.col(n_col)).otherwise(F.length(text_col).cast(docs.schema[n_col].dataType)))
+    return joined.select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("spans")
+    return report(hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("uid", "spans")
 
 
 OP8_SQL = r"""
