@@ -1,16 +1,62 @@
-"""The corpus pipeline: documents through quality rules, near-dedup, passage dedup, decontamination and encoding."""
+"""The corpus pipeline: documents through quality rules, near-dedup, passage dedup, decontamination and encoding.
+
+Each stage works on all that its predecessor kept, reads its documents from a table, and returns the columns of
+`documents`, but for the last, which returns each document's encoding.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from glyphsieve.llm import bpe, decontaminate, minhash, passages, quality_rules
+from glyphsieve.llm.common import bounded, cut, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base and the certified rules keep."""
+    bounded(spark)
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near-duplicates."""
+    bounded(spark)
+    return minhash.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that an earlier place has in a run of 100 or more."""
+    bounded(spark)
+    return passages.deduped(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold windows of two or more benchmark items, without the windows of one."""
+    bounded(spark)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's number of tokens, and the digests of its ids and of what they decode to."""
+    bounded(spark)
+    return bpe.digests(docs, *bpe.public_vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("benchmark leaks", benchmark_leaks),
+    ("byte-level BPE", encoding),
+]
 #: Risk-controlled cutoffs, sketches and byte-pair merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs, _ = cut(docs, f"stage{k}")
     return docs
