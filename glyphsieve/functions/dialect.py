@@ -7,6 +7,8 @@ the same declaration gives the SQL that another engine is asked for the same row
 from __future__ import annotations
 
 import itertools
+import re
+import string
 import unicodedata
 from functools import cache
 
@@ -143,6 +145,21 @@ class Dialect:
         body = self.swap(f"translate({body}, {self.lit(a)}, {self.lit(b)})", f"[{combining()}]")
         return f"CASE WHEN {self.has(text, r'[^\x00-\x7F]')} THEN {body} ELSE {text} END"
 
+    def squeeze(self, text: str) -> str:
+        """Runs of three or more of one symbol become one. DuckDB's regexes know no back-references: there, for ASCII symbols."""
+        if not self.duck:
+            return self.swap(text, rf"([^\p{{L}}\p{{N}}_{WS}])\1{{2,}}", "$1")
+        for c in string.punctuation.replace("_", ""):
+            text = self.swap(text, re.escape(c) + "{3,}", c if c != "\\" else "\\\\")
+        return text
+
+    def again(self, text: str, symbols: str, width: int, times: int, flags: str = "") -> str:
+        """Whether a unit of width symbols stands at least `times` times in a row. symbols: a regex class body; DuckDB spells units of its ASCII and Latin-1 members out."""
+        if not self.duck:
+            return self.has(text, flags.replace("i", "iu") + "".join([f"([{symbols}])"] * width) + "(" + "".join(f"\\{k + 1}" for k in range(width)) + f"){{{times - 1},}}")
+        chars = [c for c in map(chr, range(33, 256)) if re.fullmatch(f"[{symbols.replace(chr(92) + 'p{L}', 'a-zß-öø-ÿ')}]", c)]
+        return self.has(text, flags + "|".join(f"(?:{''.join(u)}){{{times},}}" for u in itertools.product(chars, repeat=width)))
+
     def tokens(self, text: str) -> str:
         """Runs of characters other than white space."""
         return self.find(text, f"[^{WS}]+")

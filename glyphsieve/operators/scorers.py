@@ -218,12 +218,12 @@ def _letters(q, t, lex, p):
     return Plan(f"CASE WHEN n < {max(1, p['min_length'])} THEN 0 WHEN e >= 0.7 THEN e WHEN d > {c} THEN least(CAST(1 AS DOUBLE), 0.4 + 0.1 * (d - {c})) ELSE greatest(e, 0.3 * d / {c}) END", steps)
 
 
-@scorer("keyboard_pattern", portable=False)
+@scorer("keyboard_pattern")
 def _keyboard(q, t, lex, p):
     rows = sorted({x for r in T.KEYBOARD_ROWS for i in range(len(r) - 2) for x in (r[i : i + 3], r[i : i + 3][::-1])})
     steps = [("g", q.flat(q.transform(novel(q, t, lex), lambda w: q.grams(w, 3)))), ("n", q.size("g"))]
     common = f"CASE WHEN n >= 15 THEN 0.7 * greatest(CAST(0 AS DOUBLE), 1 - {q.ratio(hits(q, 'g', T.KEYBOARD_COMMON), 'n')} / 0.15) * least(CAST(1 AS DOUBLE), CAST(n AS DOUBLE) / 28) ELSE 0 END"
-    again = f"CASE WHEN {q.has(f'lower({letters(q, t)})', r'(..)\1{2,}')} THEN CAST(0.5 AS DOUBLE) ELSE 0 END"
+    again = f"CASE WHEN {q.again(f'lower({letters(q, t)})', r'\p{L}', 2, 3)} THEN CAST(0.5 AS DOUBLE) ELSE 0 END"
     return Plan(f"least(CAST(1 AS DOUBLE), greatest(least({q.ratio(hits(q, 'g', rows), 'n')} / 0.3, CAST(1 AS DOUBLE)), {common}, {again}))", steps)
 
 
@@ -343,21 +343,24 @@ def _vowel_ratio(q, t, lex, p):
     return Plan(f"CASE WHEN n = 0 THEN 0 ELSE least(greatest({low}{high}, {cluster}), CAST(1 AS DOUBLE)) END", steps)
 
 
-@scorer("pattern_matching", portable=False, patterns=None, override_defaults=False)
+@scorer("pattern_matching", patterns=None, override_defaults=False)
 def _patterns(q, t, lex, p):
     mine = p["patterns"] or {}
     chosen = mine if p["override_defaults"] else {**T.PATTERNS, **mine}
     java = {k: v.replace(r"[^a-zA-Z0-9\s]", f"[^a-zA-Z0-9{WS}]").replace("(?i)", "(?iu)") for k, v in chosen.items()}
     s = q.join(q.where(q.tokens(t), lambda x: f"NOT {q.has(f'lower({x})', r'://|@|^www\.')}"), " ")
-    total = lambda of: " + ".join(f"CASE WHEN {q.has('s', v)} THEN 1 ELSE 0 END" for v in of) or "0"
-    steps = [("s", s), ("a", total([v for k, v in java.items() if k not in T.WEAK_PATTERNS])), ("b", total([v for k, v in java.items() if k in T.WEAK_PATTERNS]))]
+    # two of the patterns refer back; they are spelled so that both dialects can run them
+    back = {T.PATTERNS["repeated_chars"]: ("a-zA-Z0-9", 1, 4, ""), T.PATTERNS["alternating_pattern"]: ("a-z0-9", 2, 3, "(?i)")}
+    found = lambda k: q.again("s", *back[chosen[k]]) if chosen[k] in back else q.has("s", java[k].replace("(?iu)", "(?i)") if q.duck else java[k])
+    total = lambda of: " + ".join(f"CASE WHEN {found(k)} THEN 1 ELSE 0 END" for k in of) or "0"
+    steps = [("s", s), ("a", total([k for k in java if k not in T.WEAK_PATTERNS])), ("b", total([k for k in java if k in T.WEAK_PATTERNS]))]
     return Plan("CASE WHEN a + b = 0 THEN 0 WHEN a = 0 THEN least(CAST(0.3 AS DOUBLE) + CAST(0.08 AS DOUBLE) * (b - 1), CAST(0.45 AS DOUBLE)) ELSE least(CAST(0.65 AS DOUBLE) + CAST(0.08 AS DOUBLE) * (a - 1 + b), CAST(1 AS DOUBLE)) END", steps)
 
 
-@scorer("symbol_ratio", (within("symbol_threshold"), least("min_length", 0)), portable=False, symbol_threshold=0.5, min_length=3, allow_spaces=True, count_digits=False)
+@scorer("symbol_ratio", (within("symbol_threshold"), least("min_length", 0)), symbol_threshold=0.5, min_length=3, allow_spaces=True, count_digits=False)
 def _symbols(q, t, lex, p):
     c = p["symbol_threshold"]
-    s = q.swap(t, rf"([^\p{{L}}\p{{N}}_{WS}])\1{{2,}}", "$1")
+    s = q.squeeze(t)
     steps = [
         ("s", q.swap(s, f"[{WS}]") if p["allow_spaces"] else s),
         ("n", "CAST(length(s) AS BIGINT)"),
