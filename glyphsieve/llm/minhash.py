@@ -228,7 +228,8 @@ def open_links(now: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """Links (a, b) that connect all classes that a link connects, of members (bucket, uid, top, n, s1, s2, shared).
 
     A member of a class is held against the union of each larger class that it meets, and goes on to that class's members
-    only if enough of its weight lies in that union: an exact bound whose cost follows members times classes, not pairs.
+    only if enough of its weight lies in that union; these are held against the union of all that go on to them. Both are
+    exact bounds whose cost follows members times classes, not pairs.
     Classes of one member are held against each other by length, sketch and shared weight.
     """
     allowed = lambda m, x, y: (1 + similarity) * m >= similarity * (x + y) - 1e-6
@@ -259,10 +260,20 @@ def open_links(now: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     linked, linked_at = cut(verified(closest.select(*pair), texts, similarity), "closest")
     ends = linked.select(F.col("a").alias("uid"), F.col("b").alias("uid_y")).union(linked.select(F.col("b").alias("uid"), F.col("a").alias("uid_y")))
     done = ends.join(one.select(F.col("uid").alias("uid_y"), F.col("top").alias("y")), "uid_y").select("uid", "y").distinct()
-    class_pairs = x.join(done, ["uid", "y"], "left_anti").join(y, ["bucket", "y"]).where(fits).select(*pair).distinct()
+    # the same bound from the other side: what a class's member shares with all that still face its class
+    left, left_at = cut(going.join(done, ["uid", "y"], "left_anti"), "left")
+    facing = left.select("uid", "y").join(shingles, "uid").groupBy("y", "g").agg(F.max("c").alias("c_y"))
+    back = one.select("uid", F.col("top").alias("y")).join(left.select("y").distinct(), "y", "left_semi").join(shingles, "uid").join(facing, ["y", "g"])
+    back = back.groupBy("uid").agg(F.sum(F.least("c", "c_y")).alias("m_y")).withColumnRenamed("uid", "uid_y")
+    # each pair once, in the least of the buckets that both are in
+    places = now.groupBy("uid").agg(F.collect_set("bucket").alias("all"))
+    x = x.drop("m").join(left, ["uid", "y"]).join(places, "uid")
+    y = y.join(back, "uid_y").join(places.select(F.col("uid").alias("uid_y"), F.col("all").alias("all_y")), "uid_y")
+    once = F.col("bucket") == F.array_min(F.array_intersect("all", "all_y"))
+    class_pairs = x.join(y, ["bucket", "y"]).where(near & allowed(F.least("m", "m_y"), F.col("n"), F.col("n_y")) & once).select(*pair).distinct()
     pairs, pairs_at = cut(lone_pairs.union(class_pairs), "pairs")
     links, _ = cut(linked.union(verified(pairs, texts, similarity)), "links")
-    remove(now.sparkSession, member_at, faced_at, shingles_at, going_at, linked_at, pairs_at)
+    remove(now.sparkSession, member_at, faced_at, shingles_at, going_at, linked_at, left_at, pairs_at)
     return links
 
 
