@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import cut, remove, shared_dir, table
 
 MIN_REVISIT = 1000
 BUFFER = 1 << 20
@@ -202,10 +202,9 @@ def round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     if "://" not in folder:
         folder = "file://" + folder.removeprefix("file:")
     whole, _ = cut(write(pages, folder, min_revisit), "whole")
+    remove(spark)  # the payloads' shuffle files
     spread = lambda x: x.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
     members, _ = cut(normalise(spread(whole), folder), "members")
-    from .common import remove
-
     remove(spark, f"{folder}/whole")
     return read(spread(members))
 
