@@ -131,7 +131,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stats, _ = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_statistics_rows, f"doc_id {kind}, x array<float>"), "statistics")
     stats = stats.withColumn("held_out", fold("doc_id", folds) == held)
     known = sample_of(stats.where(~F.col("held_out")), labels, label, max_fit).select("x", "_y").toPandas()
-    model = fit(np.array(known["x"].tolist(), np.float64).reshape(len(known), -1), known["_y"].to_numpy(np.float64))
+    model = fit(np.array(known["x"].tolist(), np.float64).reshape(len(known), len(FEATURES)), known["_y"].to_numpy(np.float64))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # trees * 2**(depth + 1) numbers
 
     def run(batches):

@@ -162,7 +162,7 @@ def first_pass(text: str, density: float, out: bool, inside: bool, heading: bool
 
 
 def second_pass(labels: list[str], sizes: list[int] | None = None) -> list[bool]:
-    """Open blocks take the label of the nearest decided ones before and behind: near ones are in if either is good, short ones if both are, or if the nearer is."""
+    """Open blocks take the label of the nearest decided ones before and behind: near ones are in if either is good, short ones if both are, or if the nearer is. Where nothing is decided, nothing speaks against them."""
     n = len(labels)
     before, behind = [None] * n, [None] * n
     for seen, order in ((before, range(n)), (behind, range(n - 1, -1, -1))):
@@ -182,7 +182,7 @@ def second_pass(labels: list[str], sizes: list[int] | None = None) -> list[bool]
             kept.append(bool(good) or not around)
         else:
             nearest = min((abs(i - j) for j in around), default=0)
-            kept.append(bool(good) and (len(good) == len(around) == 2 or min(abs(i - j) for j in good) <= nearest))
+            kept.append(not around or bool(good) and (len(good) == len(around) == 2 or min(abs(i - j) for j in good) <= nearest))
     return kept
 
 

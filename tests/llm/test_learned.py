@@ -179,7 +179,7 @@ def test_html():
 
 def test_second_pass():
     assert html.second_pass(["short", "good", "short", "good", "short", "bad", "near", "bad"]) == [True, True, True, True, True, False, False, False]
-    assert html.second_pass([]) == [] and html.second_pass(["short", "near"]) == [False, True]
+    assert html.second_pass([]) == [] and html.second_pass(["short", "near"]) == [True, True]
 
 
 def test_html_rows(spark):
