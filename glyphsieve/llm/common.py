@@ -60,6 +60,26 @@ def remove(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def _as_read(plan) -> bool:
+    """Whether a plan is one folder or file as read, with nothing but columns chosen and rows left out."""
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and hasattr(plan.relation(), "location") and plan.relation().fileFormat().toString() == "Parquet" and plan.relation().location().rootPaths().size() == 1
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that numbers its rows: the file's number, by path, and the row's place in the file. Every scan of the result, however it is split, gives a row the same number. What is no Parquet table as read is written first."""
+    if not _as_read(docs._jdf.queryExecution().analyzed()):
+        docs, _ = cut(docs, "rows")
+    path, at = docs.metadataColumn("_metadata")["file_path"], docs.metadataColumn("_metadata")["row_index"]
+    paths = sorted(r[0] for r in docs.select(path).distinct().collect())
+    if len(paths) <= 1:
+        return docs.withColumn(name, at)
+    files = docs.sparkSession.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], "_path string, _base bigint")
+    placed = docs.select("*", path.alias("_file"), at.alias("_at")).join(F.broadcast(files), F.col("_file") == F.col("_path"))
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("_base") + F.col("_at")).alias(name))
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id's text, modulo parts; a null id falls in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")

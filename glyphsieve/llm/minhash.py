@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix, remove, shingle_hashes, table
+from .common import WordHashes, cut, mix, numbered, remove, shingle_hashes, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -279,8 +279,13 @@ def open_links(now: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """A row per document: uid, doc_id, class_id (the least doc_id of its class), n_class, and first: whether it is the class's first."""
+    return _classes(numbered(docs, "_row"), id_col, text_col, similarity, bands, rows, registers)
+
+
+def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
+    """classes() of documents whose rows `_row` numbers."""
     spark = docs.sparkSession
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col("_row").alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = base.select("uid", "text").mapInArrow(_signature_rows(bands, rows, registers), "uid bigint, sum string, n bigint, bands array<bigint>, s1 bigint, s2 bigint")
     signed, signed_at = cut(signed, "signed")
     single, single_at = cut(signed.groupBy("sum").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")), "single")
@@ -325,9 +330,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class, the first by id."""
-    spots = classes(docs, id_col, text_col).where("first").select(F.col("uid").alias("_uid"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(spots, F.col("_row") == F.col("_uid"), "left_semi").drop("_row")
+    placed = numbered(docs, "_row")
+    spots = _classes(placed, id_col, text_col).where("first").select(F.col("uid").alias("_uid"))
+    return placed.join(spots, F.col("_row") == F.col("_uid"), "left_semi").drop("_row")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
