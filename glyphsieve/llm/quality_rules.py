@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered, table
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -92,17 +92,20 @@ def measure(text: str | None) -> tuple:
 
 
 def _measure_rows(names: list):
+    """rows (ids, text) -> rows of names: the ids, then the text's measures."""
+
     def run(batches):
         for b in batches:
-            rows = [measure(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 5 else pa.float64()) for k in range(5 + len(RULES)))], names)
+            rows = [measure(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([r[k] for r in rows], pa.int64() if k < 5 else pa.float64()) for k in range(5 + len(RULES)))], names)
 
     return run
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measure_rows(names), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {MEASURES}")
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    row, kind = ([F.col(row_col)], f"{row_col} bigint, ") if row_col else ([], "")
+    names = [*([row_col] if row_col else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES]
+    out = docs.select(*row, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measure_rows(names), f"{kind}doc_id {docs.schema[id_col].dataType.simpleString()}, {MEASURES}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -179,17 +182,18 @@ def verdict(cutoffs: dict) -> F.Column:
     return ~bad
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """A row per document: its counts, measures, base_failed and kept."""
-    measured, _ = cut(measures(docs, id_col, text_col), "measures")  # a few numbers a document; counted, then judged
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, row_col: str | None = None) -> DataFrame:
+    """A row per document: its counts, measures, base_failed and kept; and row_col, if docs number their rows."""
+    measured, _ = cut(measures(docs, id_col, text_col, row_col), "measures")  # a few numbers a document; counted, then judged
     cutoffs = select_cutoffs(holdout_counts(measured, labels), len(STRATA) + 1, max_false_rejection, delta)
     return measured.withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, as they came. Ids that repeat stay if any of their rows does."""
-    kept = judge(docs, labels, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi")
+    """The documents that the rules keep, as they came: each row by its own verdict, whether its id is null or repeats."""
+    placed = numbered(docs, "_row")
+    kept = judge(placed, labels, id_col, text_col, row_col="_row").where("kept").select(F.col("_row").alias("_kept"))
+    return placed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
