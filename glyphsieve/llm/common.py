@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -67,17 +66,27 @@ def _as_read(plan) -> bool:
     return plan.getClass().getSimpleName() == "LogicalRelation" and hasattr(plan.relation(), "location") and plan.relation().fileFormat().toString() == "Parquet" and plan.relation().location().rootPaths().size() == 1
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a column that numbers its rows: the file's number, by path, and the row's place in the file. Every scan of the result, however it is split, gives a row the same number. What is no Parquet table as read is written first."""
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that numbers its rows, and that column's name, which no other has: the file's number, by path, and the row's place in the file. Every scan of the result, however it is split, gives a row the same number. What is no Parquet table as read is written first."""
     if not _as_read(docs._jdf.queryExecution().analyzed()):
         docs, _ = cut(docs, "rows")
+    own, name = [F.col(f"`{c}`") for c in docs.columns], fresh(docs.columns, "_row")
     path, at = docs.metadataColumn("_metadata")["file_path"], docs.metadataColumn("_metadata")["row_index"]
     paths = sorted(r[0] for r in docs.select(path).distinct().collect())
     if len(paths) <= 1:
-        return docs.withColumn(name, at)
-    files = docs.sparkSession.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], "_path string, _base bigint")
-    placed = docs.select("*", path.alias("_file"), at.alias("_at")).join(F.broadcast(files), F.col("_file") == F.col("_path"))
-    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("_base") + F.col("_at")).alias(name))
+        return docs.select(*own, at.alias(name)), name
+    file, place, known, base = (fresh(docs.columns, x) for x in ("_file", "_place", "_known", "_base"))
+    files = docs.sparkSession.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], f"{known} string, {base} bigint")
+    placed = docs.select(*own, path.alias(file), at.alias(place)).join(F.broadcast(files), F.col(file) == F.col(known))
+    return placed.select(*own, (F.col(base) + F.col(place)).alias(name)), name
 
 
 def fold(doc_id: str, parts: int) -> Column:
@@ -122,10 +131,3 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
     for i in range(k):
         out = mix(out ^ word_hashes[i : n - k + 1 + i])
     return out
-
-
-def batches_of(rows: Iterator, schema) -> Iterator:
-    """Arrow batches as they come; a place for a common guard against empty ones."""
-    for batch in rows:
-        if batch.num_rows:
-            yield batch

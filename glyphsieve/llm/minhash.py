@@ -6,11 +6,11 @@ above 2 being halved as far down as a weight asks. A register keeps the earliest
 weights, so two bags agree in a register with the probability of their weighted Jaccard similarity. Points are drawn
 for all shingles of a batch at once, only while they can still lower a register.
 
-Runs of registers make bands; documents that share a band meet in a bucket. Buckets are not expanded into pairs: each
-member is compared with the bucket's first member, then those left over with the first of these, and last, members that
-still belong to different classes, where lengths, one-bit sketches and
-the weight that a bag shares with any other allow the similarity. Every link is verified on
-the bags themselves. Classes are the connected components.
+Runs of registers make bands; documents that share a band meet in a bucket. Buckets are not expanded into pairs. In
+rounds, all members of a bucket are held against its leader, the one that meets the most other documents, and those that
+do not join the leader's class choose the next. Where classes still meet in a bucket, members that can have a link to
+another class, by the exact weight that their bags share with it, are joined by prefixes of their rarest shared shingles.
+Every link is verified on the bags themselves. Classes are the connected components.
 
 Words are runs of characters other than white space, lower-cased. Texts with the same words count as one bag, whatever
 their number. Defined results: a text of one to four words is one shingle; a text without words is in a class of its
@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WordHashes, cut, mix, numbered, remove, shingle_hashes, table
 
@@ -35,7 +36,8 @@ BANDS = 25
 ROWS = 5
 #: Sketches of 128 bits: at similarity 0.8 a mean of 12.8 bits differ, with a deviation of 3.4; more than this many mean less than 0.8.
 MAX_BITS = 29
-CLOSE_BITS = 12
+#: Rounds of leaders before what is left of a bucket is held against what can have a link there.
+ROUNDS = 2
 
 
 def _intervals(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,8 +113,11 @@ def bag_of(words: list[str], hashes: WordHashes, width: int = WORDS) -> tuple[np
     return np.unique(shingle_hashes(hashes.of(words), width), return_counts=True)
 
 
-def _signature_rows(bands: int, rows: int, registers: int):
-    def emit(ids, sums, bags):
+def _signature_rows(bands: int, rows: int, registers: int, kind):
+    """rows (uid, doc_id, text) -> rows (uid, doc_id, sum, n, bands, s1, s2)."""
+    kind = to_arrow_type(kind)
+
+    def emit(ids, names, sums, bags):
         sizes = np.array([len(s) for s, _ in bags])
         shingle = np.concatenate([s for s, _ in bags]) if bags else np.empty(0, np.uint64)
         count = np.concatenate([c for _, c in bags]).astype(np.int64) if bags else np.empty(0, np.int64)
@@ -128,26 +133,27 @@ def _signature_rows(bands: int, rows: int, registers: int):
         n = np.array([int(c.sum()) for _, c in bags], np.int64)
         has = n > 0
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sums, pa.string()), pa.array(n), pa.array([x if h else [] for x, h in zip(out.view(np.int64), has, strict=True)], pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
-            ["uid", "sum", "n", "bands", "s1", "s2"],
+            [pa.array(ids, pa.int64()), pa.array(names, kind), pa.array(sums, pa.string()), pa.array(n), pa.array([x if h else [] for x, h in zip(out.view(np.int64), has, strict=True)], pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+            ["uid", "doc_id", "sum", "n", "bands", "s1", "s2"],
         )
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
-            ids, sums, bags, weight = [], [], [], 0
-            for uid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids, names, sums, bags, weight = [], [], [], [], 0
+            for uid, name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words = (t.as_py() or "").lower().split()
                 ids.append(uid)
+                names.append(name)
                 # without words, a sum of its own
                 sums.append(xxhash.xxh3_128_hexdigest(" ".join(words)) if words else f"-{uid}")
                 bags.append(bag_of(words, hashes))
                 weight += len(words)
                 if weight > 100_000 or len(bags) >= 500:
-                    yield emit(ids, sums, bags)
-                    ids, sums, bags, weight = [], [], [], 0
+                    yield emit(ids, names, sums, bags)
+                    ids, names, sums, bags, weight = [], [], [], [], 0
             if ids:
-                yield emit(ids, sums, bags)
+                yield emit(ids, names, sums, bags)
 
     return run
 
@@ -198,12 +204,6 @@ def _shingle_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), uid)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["uid", "g", "c"])
 
 
-def alone(texts: DataFrame) -> DataFrame:
-    """(uid, alone): for each text the weight of its shingles that no other text of these has; texts without such are absent."""
-    shingles = texts.select("uid", "text").mapInArrow(_shingle_rows, "uid bigint, g bigint, c bigint")
-    return shingles.groupBy("g").agg(F.count("*").alias("k"), F.min("uid").alias("uid"), F.min("c").alias("c")).where("k = 1").groupBy("uid").agg(F.sum("c").alias("alone"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(uid, top): for each node of links (a, b), the least node that it is connected to. Alternates large-star and small-star steps until nothing changes; no node's links gather in one task."""
     edges, at = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -224,115 +224,163 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("uid"), F.col("v").alias("top"))
 
 
-def open_links(now: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all classes that a link connects, of members (bucket, uid, top, n, s1, s2, shared).
+def merged(tops: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(uid, top) after more links (a, b): only the centres that they touch are worked on again."""
+    if tops is None:
+        return components(links)
+    own = lambda x: tops.select(F.col("uid").alias(x), F.col("top").alias(f"top_{x}"))
+    centres = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("top_a", "a").alias("a"), F.coalesce("top_b", "b").alias("b")).where("a <> b").distinct()
+    centres, centres_at = cut(centres, "centres")
+    moved = components(centres)
+    remove(links.sparkSession, centres_at)
+    again = tops.join(moved.select(F.col("uid").alias("top"), F.col("top").alias("to")), "top", "left").select("uid", F.coalesce("to", "top").alias("top"))
+    return cut(again.union(moved), "tops")[0]
+
+
+def with_top(rows: DataFrame, tops: DataFrame | None, uid: str = "uid", top: str = "top") -> DataFrame:
+    """rows with the class that uid belongs to, its own where no link touches it."""
+    if tops is None:
+        return rows.withColumn(top, F.col(uid))
+    return rows.join(tops.select(F.col("uid").alias(uid), F.col("top").alias("_top")), uid, "left").withColumn(top, F.coalesce("_top", uid)).drop("_top")
+
+
+def leader_round(members: DataFrame, texts: DataFrame, tops: DataFrame | None, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """Hold all members (bucket, uid, weight) of a bucket against its leader, the heaviest of them. Returns the members that aren't of their leader's class after that, and the classes. Rows follow members, whatever a bucket's size."""
+    leads = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("uid")).alias("order"))).alias("lead"), F.count("*").alias("size")).where("size > 1").select("bucket", (-F.col("lead.order")).alias("lead"))
+    met = members.join(leads, "bucket").where("uid <> lead")
+    met, met_at = cut(with_top(with_top(met, tops), tops, "lead", "lead_top"), "met")
+    links, links_at = cut(verified(met.where("top <> lead_top").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct(), texts, similarity), "links")
+    if not links.isEmpty():
+        tops = merged(tops, links)
+    rest = with_top(with_top(met.select("bucket", "uid", "weight", "lead"), tops), tops, "lead", "lead_top").where("top <> lead_top").select("bucket", "uid", "weight")
+    rest, _ = cut(rest, "rest")
+    remove(members.sparkSession, met_at, links_at)
+    return rest, tops
+
+
+def _prefix_rows(similarity: float):
+    """rows (uid, top, n, least_n, s1, s2, items) -> rows (uid, top, n, s1, s2, g, longer). items: the shingles (k, g, c) that other classes have, k texts have it, c times it stands here."""
 
-    A member of a class is held against the union of each larger class that it meets, and goes on to that class's members
-    only if enough of its weight lies in that union; these are held against the union of all that go on to them. Both are
-    exact bounds whose cost follows members times classes, not pairs.
-    Classes of one member are held against each other by length, sketch and shared weight.
+    def run(batches):
+        for b in batches:
+            out = []
+            for uid, top, n, least, s1, s2, items in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                items.sort(key=lambda x: (x["k"], x["g"]))
+                total = sum(x["c"] for x in items)
+                # the overlap that a partner as long or longer, and one that is shorter, must have at least
+                for longer, other in ((False, n), (True, max(similarity * n, least))):
+                    spare, seen = total - similarity * (n + other) / (1 + similarity) + 1e-6, 0
+                    for x in items:
+                        if seen > spare:
+                            break
+                        out.append((uid, top, n, s1, s2, x["g"], longer))
+                        seen += x["c"]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["uid", "top", "n", "s1", "s2", "g", "longer"])
+
+    return run
+
+
+def closing_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (bucket, uid, n, top, least_n) of different classes among which are all that are similar enough.
+
+    Two bags share at most what each shares with any text of another class: members that share too little with all of
+    them go, first by the shingles that no other member has, then by those that only the own class has. The rest are
+    joined by prefixes: of the shingles that other classes have, rarest first, those that two bags of these lengths
+    cannot both miss. Lengths and one-bit sketches thin the pairs out.
     """
-    allowed = lambda m, x, y: (1 + similarity) * m >= similarity * (x + y) - 1e-6
-    one = now.select("uid", "top", "n", "s1", "s2", "shared").distinct()
-    size = one.groupBy("top").agg(F.count("*").alias("size"), F.min("n").alias("least_n"))
-    member = now.join(size.select("top", "size"), "top").where(F.col("shared") >= similarity * F.col("n") - 1e-6)
-    member, member_at = cut(member, "member")
-    near = F.expr(f"bit_count(s1 ^ s1_y) + bit_count(s2 ^ s2_y) <= {MAX_BITS}") & (F.least("n", "n_y") >= similarity * F.greatest("n", "n_y") - 1e-6)
-    lone = member.where("size = 1").select("bucket", "uid", "n", "s1", "s2", "shared")
-    other = lone.select("bucket", *(F.col(c).alias(c + "_y") for c in lone.columns if c != "bucket"))
-    lone_pairs = lone.join(other, "bucket").where((F.col("uid") < F.col("uid_y")) & near & allowed(F.least("shared", "shared_y"), F.col("n"), F.col("n_y"))).select(F.col("uid").alias("a"), F.col("uid_y").alias("b")).distinct()
-    # members and the larger classes that they meet
-    larger = now.select("bucket", "top").distinct().join(size.where("size > 1"), "top").select("bucket", F.col("top").alias("y"), F.col("size").alias("size_y"), "least_n")
-    faced = member.join(larger, "bucket").where((F.col("top") != F.col("y")) & ((F.col("size_y") > F.col("size")) | ((F.col("size_y") == F.col("size")) & (F.col("y") > F.col("top"))))).select("uid", "y", "n", "least_n").distinct()
-    faced, faced_at = cut(faced, "faced")
-    shingles, shingles_at = cut(texts.join(one.select("uid"), "uid", "left_semi").select("uid", "text").mapInArrow(_shingle_rows, "uid bigint, g bigint, c bigint"), "shingles")
-    union = shingles.join(one.select("uid", F.col("top").alias("y")), "uid").join(faced.select("y").distinct(), "y", "left_semi").groupBy("y", "g").agg(F.max("c").alias("c_y"))
-    mass = faced.join(shingles, "uid").join(union, ["y", "g"]).groupBy("uid", "y").agg(F.first("n").alias("n"), F.first("least_n").alias("least_n"), F.sum(F.least("c", "c_y")).alias("m"))
-    going = mass.where(allowed(F.col("m"), F.col("n"), F.greatest(F.lit(similarity) * F.col("n"), F.col("least_n")))).select("uid", "y", "m")
-    going, going_at = cut(going, "going")
-    x = now.join(going, "uid").select("bucket", "uid", "y", "m", "n", "s1", "s2")
-    y = now.select("bucket", F.col("top").alias("y"), *(F.col(c).alias(c + "_y") for c in ("uid", "n", "s1", "s2", "shared")))
-    differ = F.expr("bit_count(s1 ^ s1_y) + bit_count(s2 ^ s2_y)")
-    pair = (F.least("uid", "uid_y").alias("a"), F.greatest("uid", "uid_y").alias("b"))
-    fits = near & allowed(F.least("m", "shared_y"), F.col("n"), F.col("n_y"))
-    # one link to a class is enough: the member that looks closest first
-    closest = x.join(y, ["bucket", "y"]).where(fits & (differ <= CLOSE_BITS)).groupBy("uid", "y").agg(F.min(F.struct(differ.alias("bits"), "uid_y")).alias("best")).select("uid", "y", F.col("best.uid_y").alias("uid_y"))
-    linked, linked_at = cut(verified(closest.select(*pair), texts, similarity), "closest")
-    ends = linked.select(F.col("a").alias("uid"), F.col("b").alias("uid_y")).union(linked.select(F.col("b").alias("uid"), F.col("a").alias("uid_y")))
-    done = ends.join(one.select(F.col("uid").alias("uid_y"), F.col("top").alias("y")), "uid_y").select("uid", "y").distinct()
-    # the same bound from the other side: what a class's member shares with all that still face its class
-    left, left_at = cut(going.join(done, ["uid", "y"], "left_anti"), "left")
-    facing = left.select("uid", "y").join(shingles, "uid").groupBy("y", "g").agg(F.max("c").alias("c_y"))
-    back = one.select("uid", F.col("top").alias("y")).join(left.select("y").distinct(), "y", "left_semi").join(shingles, "uid").join(facing, ["y", "g"])
-    back = back.groupBy("uid").agg(F.sum(F.least("c", "c_y")).alias("m_y")).withColumnRenamed("uid", "uid_y")
-    # each pair once, in the least of the buckets that both are in
-    places = now.groupBy("uid").agg(F.collect_set("bucket").alias("all"))
-    x = x.drop("m").join(left, ["uid", "y"]).join(places, "uid")
-    y = y.join(back, "uid_y").join(places.select(F.col("uid").alias("uid_y"), F.col("all").alias("all_y")), "uid_y")
-    once = F.col("bucket") == F.array_min(F.array_intersect("all", "all_y"))
-    class_pairs = x.join(y, ["bucket", "y"]).where(near & allowed(F.least("m", "m_y"), F.col("n"), F.col("n_y")) & once).select(*pair).distinct()
-    pairs, pairs_at = cut(lone_pairs.union(class_pairs), "pairs")
-    links, _ = cut(linked.union(verified(pairs, texts, similarity)), "links")
-    remove(now.sparkSession, member_at, faced_at, shingles_at, going_at, linked_at, left_at, pairs_at)
-    return links
+    spark = members.sparkSession
+    one, one_at = cut(members.groupBy("uid").agg(F.first("top").alias("top"), F.first("n").alias("n"), F.min("least_n").alias("least_n")), "one")
+    shingles = lambda of: texts.join(of.select("uid"), "uid", "left_semi").select("uid", "text").mapInArrow(_shingle_rows, "uid bigint, g bigint, c bigint")
+    alone = shingles(one).groupBy("g").agg(F.count("*").alias("k"), F.min("uid").alias("uid"), F.min("c").alias("c")).where("k = 1").groupBy("uid").agg(F.sum("c").alias("alone"))
+    can = lambda m: (1 + similarity) * m >= similarity * (F.col("n") + F.greatest(F.lit(similarity) * F.col("n"), F.col("least_n"))) - 1e-6
+    first = one.join(alone, "uid", "left").where(can(F.col("n") - F.coalesce("alone", F.lit(0)))).drop("alone")
+    first, first_at = cut(first, "first")
+    left, left_at = cut(shingles(first).join(first, "uid"), "left")
+    other = left.groupBy("g").agg(F.min("top").alias("x"), F.max("top").alias("y"), F.count("*").alias("k")).where("x <> y").select("g", "k")
+    bags = left.join(other, "g").groupBy("uid").agg(F.first("top").alias("top"), F.first("n").alias("n"), F.first("least_n").alias("least_n"), F.sum("c").alias("shared"), F.collect_list(F.struct("k", "g", "c")).alias("items"))
+    bags = bags.where(can(F.col("shared"))).join(sketches, "uid").select("uid", "top", "n", "least_n", "s1", "s2", "items")
+    prefixes, prefixes_at = cut(bags.mapInArrow(_prefix_rows(similarity), "uid bigint, top bigint, n bigint, s1 bigint, s2 bigint, g bigint, longer boolean"), "prefixes")
+    x, y = prefixes.where("NOT longer").drop("longer"), prefixes.select("g", "longer", *(F.col(c).alias(c + "_y") for c in ("uid", "top", "n", "s1", "s2")))
+    near = (F.col("top") != F.col("top_y")) & F.expr(f"bit_count(s1 ^ s1_y) + bit_count(s2 ^ s2_y) <= {MAX_BITS}")
+    pair = (F.col("uid").alias("a"), F.col("uid_y").alias("b"))
+    same = x.join(y.where("NOT longer").withColumnRenamed("n_y", "n"), ["g", "n"]).where(near & (F.col("uid") < F.col("uid_y"))).select(*pair)
+    shorter = x.join(y.where("longer"), "g").where(near & (F.col("n") < F.col("n_y")) & (F.col("n") >= similarity * F.col("n_y") - 1e-6)).select(*pair)
+    out, _ = cut(same.union(shorter).distinct(), "closing")
+    remove(spark, one_at, first_at, left_at, prefixes_at)
+    return out
+
+
+def linked(single: DataFrame, base: DataFrame, similarity: float) -> DataFrame | None:
+    """(uid, top) of the texts in single (uid, n, bands, s1, s2) that a link joins to another, by rounds of leaders in each bucket; None without a link."""
+    spark = single.sparkSession
+    bands, bands_at = cut(single.select("uid", "n", F.explode("bands").alias("bucket")), "bands")
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared, shared_at = cut(bands.join(sizes, "bucket"), "shared")
+    remove(spark, bands_at)
+    # the text that meets the most others leads: of a text and its edited copies, the text
+    weights = shared.groupBy("uid").agg(F.sum("size").alias("weight"))
+    members, members_at = cut(shared.drop("size").join(weights, "uid").select("bucket", "uid", "n", "weight"), "weighed")
+    texts, texts_at = cut(base.select("uid", "text").join(members.select("uid").distinct(), "uid"), "texts")
+    remove(spark, shared_at)
+    rest, tops = members.drop("n"), None
+    for _ in range(ROUNDS):
+        rest, tops = leader_round(rest, texts, tops, similarity)
+        if rest.isEmpty():
+            break
+    # buckets in which classes meet whose members were not all held against each other
+    known, known_at = cut(with_top(members.drop("weight"), tops), "known")
+    split = known.groupBy("bucket").agg(F.min("top").alias("x"), F.max("top").alias("y"), F.count("*").alias("size"), F.min("n").alias("least_n")).where("x <> y AND size > 2").select("bucket", "least_n")
+    closing = closing_pairs(known.join(split, "bucket"), single.select("uid", "s1", "s2"), texts, similarity)
+    links, links_at = cut(verified(closing, texts, similarity), "links")
+    if not links.isEmpty():
+        tops = merged(tops, links)
+    remove(spark, members_at, texts_at, known_at, links_at)
+    return tops
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with facts, which have each key once and how many rows have it. Keys of a thousandth of all rows or more, a thousand keys at most, are broadcast, so that no task gets all rows of one."""
+    most = max(1_000, total // 1_000)
+    hot = F.broadcast(facts.where(F.col(size) >= most))
+    marked = rows.join(hot.select(key, F.lit(True).alias("_hot")), key, "left")
+    few = marked.where("_hot").drop("_hot").join(hot, key)
+    return few.unionByName(marked.where("_hot IS NULL").drop("_hot").join(facts.where(F.col(size) < most), key))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """A row per document: uid, doc_id, class_id (the least doc_id of its class), n_class, and first: whether it is the class's first."""
-    return _classes(numbered(docs, "_row"), id_col, text_col, similarity, bands, rows, registers)
+    placed, row = numbered(docs)
+    return _classes(placed, row, id_col, text_col, similarity, bands, rows, registers)
 
 
-def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
-    """classes() of documents whose rows `_row` numbers."""
+def _classes(docs: DataFrame, row: str, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
+    """classes() of documents whose rows the column `row` numbers."""
     spark = docs.sparkSession
-    base = docs.select(F.col("_row").alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = base.select("uid", "text").mapInArrow(_signature_rows(bands, rows, registers), "uid bigint, sum string, n bigint, bands array<bigint>, s1 bigint, s2 bigint")
+    base = docs.select(F.col(row).alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    signed = base.mapInArrow(_signature_rows(bands, rows, registers, docs.schema[id_col].dataType), f"uid bigint, doc_id {docs.schema[id_col].dataType.simpleString()}, sum string, n bigint, bands array<bigint>, s1 bigint, s2 bigint")
     signed, signed_at = cut(signed, "signed")
-    single, single_at = cut(signed.groupBy("sum").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")), "single")
-    members = single.select("uid", F.explode("bands").alias("bucket"))
-    leads, leads_at = cut(members.groupBy("bucket").agg(F.min("uid").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "leads")
-    met, met_at = cut(members.join(leads, "bucket"), "met")
-    texts, texts_at = cut(base.select("uid", "text").join(met.select("uid").distinct(), "uid"), "texts")
-    remove(spark, leads_at)
-    stars = met.where("uid <> lead").select(F.col("lead").alias("a"), F.col("uid").alias("b")).distinct()
-    links, _ = cut(verified(stars, texts, similarity), "links")
-    sketch = single.select("uid", "n", "s1", "s2")
-    top = components(links)
-    # what a bucket's first member didn't take: against the first of these
-    placed = met.join(top, "uid", "left").withColumn("top", F.coalesce("top", "uid"))
-    placed, placed_at = cut(placed, "placed")
-    lead_top = top.select(F.col("uid").alias("lead"), F.col("top").alias("lead_top"))
-    rest = placed.join(lead_top, "lead", "left").withColumn("lead_top", F.coalesce("lead_top", "lead")).where("top <> lead_top")
-    rest, rest_at = cut(rest.select("bucket", "uid", "top"), "rest")
-    second = rest.groupBy("bucket").agg(F.min("uid").alias("a"))
-    more = rest.join(second, "bucket").where("uid <> a").select("a", F.col("uid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more, _ = cut(verified(more, texts, similarity), "links")
-    links = links.union(more)
-    top = components(links)
-    # members of different classes that meet in a bucket, as far as lengths and sketches allow the similarity
-    open_buckets = rest.select("bucket").distinct()
-    now = met.join(open_buckets, "bucket", "left_semi").join(top, "uid", "left").withColumn("top", F.coalesce("top", "uid")).join(sketch, "uid")
-    now, now_at = cut(now.select("bucket", "uid", "top", "n", "s1", "s2"), "now")
-    # what two bags share is at most what each shares with any: an exact bound that leaves few of the pairs
-    own, own_at = cut(alone(texts.join(now.select("uid").distinct(), "uid", "left_semi")), "alone")
-    now = now.join(own, "uid", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    links = links.union(open_links(now, texts, similarity))
-    top, top_at = cut(components(links), "tops")
-    remove(spark, met_at, texts_at, placed_at, rest_at, now_at, own_at)
-    # classes by sums, then by documents
-    by_sum, by_sum_at = cut(single.select("sum", "uid").join(top, "uid", "left").select("sum", F.coalesce("top", "uid").alias("top")), "by_sum")
-    placed, _ = cut(signed.select("uid", "sum").join(by_sum, "sum").join(base.select("uid", "doc_id"), "uid").select("uid", "doc_id", "top"), "classes")
-    remove(spark, signed_at, single_at, top_at, by_sum_at)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("uid"))
-    names, _ = cut(placed.groupBy("top").agg(F.min(order).alias("least"), F.count("*").alias("n_class")).select("top", F.col("least.doc_id").alias("class_id"), F.col("least.uid").alias("first_uid"), "n_class"), "names")
-    return placed.join(names, "top").select("uid", "doc_id", "class_id", "n_class", (F.col("uid") == F.col("first_uid")).alias("first"))
+    total = signed.count()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
+    single = signed.groupBy("sum").agg(F.min("uid").alias("uid"), F.min(order).alias("least"), F.count("*").alias("n_sum"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    single, single_at = cut(single, "single")
+    tops = linked(single.select("uid", "n", "bands", "s1", "s2"), base, similarity)
+    # classes of texts, then of documents
+    by_text, by_text_at = cut(with_top(single.select("sum", "uid", "least", "n_sum"), tops).drop("uid"), "by_text")
+    names = by_text.groupBy("top").agg(F.min("least").alias("least"), F.sum("n_sum").alias("n_class"), F.count("*").alias("texts"))
+    names, names_at = cut(names, "names")
+    named, named_at = cut(hot_join(by_text.select("sum", "top", "n_sum"), names, "top", "texts", total).select("sum", "n_sum", "n_class", F.col("least.doc_id").alias("class_id"), F.col("least.uid").alias("first_uid")), "named")
+    out = hot_join(signed.select("uid", "doc_id", "sum"), named, "sum", "n_sum", total)
+    out, _ = cut(out.select("uid", "doc_id", "class_id", "n_class", (F.col("uid") == F.col("first_uid")).alias("first")), "classes")
+    remove(spark, signed_at, single_at, by_text_at, names_at, named_at)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class, the first by id."""
-    placed = numbered(docs, "_row")
-    spots = _classes(placed, id_col, text_col).where("first").select(F.col("uid").alias("_uid"))
-    return placed.join(spots, F.col("_row") == F.col("_uid"), "left_semi").drop("_row")
+    placed, row = numbered(docs)
+    spots = _classes(placed, row, id_col, text_col).where("first").select(F.col("uid").alias(row))
+    return placed.join(spots, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

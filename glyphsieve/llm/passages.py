@@ -316,7 +316,8 @@ def removals(base: DataFrame, width: int = WIDTH, gram: int = GRAM, order_col: s
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, row) with docs' columns other than the text, and rows (uid, kept, n_bytes, n_removed, n_spans): uid numbers docs' rows, kept holds the bytes that stay."""
-    base = numbered(docs, "_row").select(F.col("_row").alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).alias("_order"), F.col(text_col).alias("text"))
+    placed, number = numbered(docs)
+    base = placed.select(F.col(number).alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).alias("_order"), F.col(text_col).alias("text"))
     copies, ranges, small = removals(base, width, gram, "_order")
     marked = base.select("uid", "text").join(ranges, "uid", "left").join((F.broadcast if small else lambda x: x)(copies.withColumn("copy", F.lit(True))), "uid", "left")
     cleaned = marked.select("uid", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_cleaned_rows, "uid bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")

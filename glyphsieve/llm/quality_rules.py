@@ -191,9 +191,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, as they came: each row by its own verdict, whether its id is null or repeats."""
-    placed = numbered(docs, "_row")
-    kept = judge(placed, labels, id_col, text_col, row_col="_row").where("kept").select(F.col("_row").alias("_kept"))
-    return placed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    placed, row = numbered(docs)
+    kept = judge(placed, labels, id_col, text_col, row_col=row).where("kept").select(row)
+    return placed.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

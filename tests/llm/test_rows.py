@@ -39,8 +39,8 @@ def rows(df):
 def test_numbers_hold(spark, files):
     before, got = spark.conf.get(SPLIT), []
     for docs in (files, files.select("text", "doc_id").where("doc_id > 3"), files.limit(50)):
-        placed = common.numbered(docs, "_row")
-        assert placed.columns == [*docs.columns, "_row"]
+        placed, row = common.numbered(docs)
+        assert placed.columns == [*docs.columns, row] and row == "_row"
         for size in ("4000", "64m"):
             spark.conf.set(SPLIT, size)
             got.append(sorted((r["_row"], r["doc_id"]) for r in placed.collect()))
