@@ -117,6 +117,55 @@ class Dialect:
     def among(self, x: str, values) -> str:
         return f"{x} IN ({', '.join(self.lit(v) for v in values)})" if values else "false"
 
+    def known_steps(self, items: str, name: str, words) -> list[tuple[str, str]]:
+        """The steps that member() needs for the items among many words. Spark looks each up in a hash set; DuckDB intersects the distinct items with them."""
+        if not self.duck:
+            return []
+        return [(name, f"list_intersect(list_distinct({items}), [{', '.join(self.lit(w) for w in words)}]::VARCHAR[])")]
+
+    def member(self, x: str, name: str, words) -> str:
+        """Whether x is one of many words; name: of the step that known_steps() gave."""
+        return f"list_contains({name}, {x})" if self.duck else self.among(x, words)
+
+    def rounded(self, x: str) -> str:
+        """x to six digits, by the same operations in both dialects; ties, and what lies a millionth of a step below one, go up."""
+        return f"(CAST(floor(({x}) * CAST(1000000 AS DOUBLE) + CAST(0.500001 AS DOUBLE)) AS DOUBLE) / CAST(1000000 AS DOUBLE))"
+
+    def pair_values(self, text: str, table: list[int]) -> str:
+        """For each neighbouring pair of characters of a text of a-z, blanks and ~ its value in table, which has 32 rows of 32: a blank's place is 0, a letter's 1 to 26, that of ~ 30."""
+        v = self.var()
+        if self.duck:
+            codes = f"list_transform(string_split({text}, ''), lambda {v}: ascii({v}) & 31)"
+            c, x = self.var(), self.var()
+            return f"list_transform([{codes}], lambda {c}: list_transform(list_zip({c}[1:-2], {c}[2:]), lambda {x}: list_extract({self.longs(table)}, {x}[1] * 32 + {x}[2] + 1)))[1]"
+        i, c = self.var(), self.var()
+        # an array of one, so that the text is taken apart once; the last character has no pair and adds 0
+        return f"get(transform(array(transform(split({text}, ''), {v} -> ascii({v}) & 31)), {c} -> transform({c}, ({v}, {i}) -> coalesce(get({self.longs(table)}, {v} * 32 + get({c}, {i} + 1)), 0L))), 0)"
+
+    def chars(self, text: str) -> str:
+        return self.where(f"string_split({text}, '')" if self.duck else f"split({text}, '')", lambda x: f"{x} <> ''")
+
+    def runs(self, text: str, least: int) -> str:
+        """Runs of at least `least` times the same of a-z and 0-9."""
+        if self.duck:
+            return self.find(text, "|".join(f"{c}{{{least},}}" for c in string.ascii_lowercase + string.digits))
+        return self.find(text, rf"([a-z0-9])\1{{{least - 1},}}")
+
+    def unit_steps(self, text: str, width: int, times: int, name: str) -> list[tuple[str, str]]:
+        """Steps that end in `name`: the length of the longest stretch in which a unit of width characters, a letter or digit among them, stands at least `times` times."""
+        if not self.duck:
+            found = self.where(self.find(text, rf"(?d)(.{{{width}}})\1{{{times - 1},}}"), lambda m: self.has(f"substring({m}, 1, {width})", r"[\p{L}\p{N}]"))
+            return [(name, self.most(self.transform(found, lambda m: f"CAST(length({m}) AS BIGINT)")))]
+        # without back-references: runs of characters that equal the one a unit later; 1 marks letters and digits, 2 others
+        c, e, need = f"{name}_c", f"{name}_e", width * (times - 1)
+        mark = lambda x: f"CASE WHEN {x}[1] <> {x}[2] OR {x}[1] = chr(10) THEN '0' WHEN {self.has(f'{x}[1]', r'[\p{L}\p{N}]')} THEN '1' ELSE '2' END"
+        good = self.where(self.find(e, f"[12]{{{need},}}"), lambda x: f"contains(substr({x}, 1, {width}), '1')")
+        return [
+            (c, self.chars(text)),
+            (e, self.join(self.transform(f"list_zip({c}[1:-{width + 1}], {c}[{width + 1}:])", mark), "")),
+            (name, self.most(self.transform(good, lambda x: f"CAST((length({x}) + {width}) // {width} * {width} AS BIGINT)"))),
+        ]
+
     def count(self, text: str, char: str) -> str:
         return f"CAST(length({text}) - length(replace({text}, {self.lit(char)}, '')) AS BIGINT)"
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.dialect import Dialect
 from .lexicon import Lexicon
-from .scorers import REGISTRY, Plan
+from .scorers import REGISTRY, ColumnScorer, Plan, gates
 
 VOTING = ("majority", "any", "all", "average", "weighted")
 DEFAULT_MEMBERS = ("markov_chain", "log_likelihood_ratio", "word_anomaly")
@@ -37,6 +37,58 @@ def _text_check(df: DataFrame, column: str) -> None:
         raise TypeError(f"column {column} must be a string, not {kind.simpleString()}")
 
 
+_VAR = re.compile(r"\bv\d+\b")
+
+
+def _canonical(sql: str) -> str:
+    """sql with its lambda variables numbered by first use, so that equal steps read alike."""
+    seen: dict[str, str] = {}
+    for v in _VAR.findall(sql):
+        seen.setdefault(v, f"v{len(seen)}")
+    return rename(sql, seen)
+
+
+def fresh(columns, name: str) -> str:
+    """A column name that none of columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_scores(df: DataFrame, column: str, wanted: list[tuple[Detector, str | None, str | None]]) -> DataFrame:
+    """df with, for each detector, its score and whether it applies, under the names given.
+
+    Steps are projections of their own, so none is computed twice, and detectors share the steps that they have in
+    common; steps that don't depend on each other stand in one projection."""
+    _text_check(df, column)
+    own = [*df.columns]
+    base = fresh(own, "__t")
+    depth, levels, known, out = {base: 0}, {}, {}, []
+    for detector, score, applicable in wanted:
+        if detector.custom:
+            out += [detector.column(base).alias(score)] if score else []
+            out += [detector.applies(base).alias(applicable)] if applicable else []
+            continue
+        plan, names = detector.plan(), {"__t": base}
+        for step, sql in plan.steps:
+            full = _canonical(rename(sql, names))
+            if full not in known:
+                at = 1 + max((depth[x] for x in _WORDS.findall(full) if x in depth), default=0)
+                known[full] = fresh(own, f"__x{len(known)}_")
+                depth[known[full]] = at
+                levels.setdefault(at, {})[known[full]] = F.expr(full)
+            names[step] = known[full]
+        if score:
+            out.append(F.expr(rename(plan.score, names)).alias(score))
+        if applicable:
+            out.append((F.expr(rename(plan.applicable, names)) if plan.applicable else F.lit(True)).alias(applicable))
+    df = df.withColumn(base, F.col(f"`{column}`"))
+    for at in sorted(levels):
+        df = df.withColumns(levels[at])
+    return df.select(*(F.col(f"`{c}`") for c in own), *out)
+
+
 @dataclass(frozen=True)
 class Detector:
     """One scorer and the score from which a text counts as gibberish."""
@@ -61,25 +113,33 @@ class Detector:
         return REGISTRY[self.name].plan(Dialect(duck), text, self.lexicon, **dict(self.params))
 
     def with_score(self, df: DataFrame, column: str, score: str | None, applicable: str | None = None) -> DataFrame:
-        """df with the score, and whether the scorer applies, under the names given. Steps are projections of their own, so none is computed twice."""
-        _text_check(df, column)
-        plan, own = self.plan(), [*df.columns]
-        names = {"__t": "__t", **{step: f"__{step}" for step, _ in plan.steps}}
-        df = df.withColumn("__t", F.col(f"`{column}`"))
-        for step, sql in plan.steps:
-            df = df.withColumn(names[step], F.expr(rename(sql, names)))
-        out = [F.col(f"`{c}`") for c in own]
-        if score:
-            out.append(F.expr(rename(plan.score, names)).alias(score))
-        if applicable:
-            out.append((F.expr(rename(plan.applicable, names)) if plan.applicable else F.lit(True)).alias(applicable))
-        return df.select(*out)
+        """df with the score, and whether the scorer applies, under the names given."""
+        return with_scores(df, column, [(self, score, applicable)])
+
+    @property
+    def custom(self) -> bool:
+        return isinstance(REGISTRY[self.name], ColumnScorer)
+
+    def column(self, column: str) -> Column:
+        """The score of a scorer that is a function of a column, within the gates."""
+        own, given = REGISTRY[self.name], dict(self.params)
+        params = {k: v for k, v in own.params(given).items() if k in own.defaults}
+        out = F
+        for test, value in gates(Dialect(False), f"`{column}`", given.get("max_string_length", 1000)):
+            out = out.when(F.expr(test), F.expr(value))
+        return out.otherwise(own.build(F.col(f"`{column}`"), **params).cast("double"))
+
+    def applies(self, column: str) -> Column:
+        own = REGISTRY[self.name].applies
+        return own(F.col(f"`{column}`")) if own else F.lit(True)
 
     def score(self, column: str) -> Column:
         """The score as one expression, for filters, SQL and streams."""
-        return F.expr(inline(self.plan(), column).score)
+        return self.column(column) if self.custom else F.expr(inline(self.plan(), column).score)
 
     def applicable(self, column: str) -> Column:
+        if self.custom:
+            return self.applies(column)
         own = inline(self.plan(), column).applicable
         return F.expr(own) if own else F.lit(True)
 
@@ -94,7 +154,16 @@ class Detector:
 
     def clean(self, df: DataFrame, column: str = "text") -> DataFrame:
         """df without flagged texts; null texts stay."""
-        return self.transform(df, column, "__score", "__flag").where(~F.coalesce("__flag", F.lit(False))).drop("__score", "__flag")
+        score, flag = fresh(df.columns, "__score"), fresh(df.columns, "__flag")
+        return self.transform(df, column, score, flag).where(~F.coalesce(flag, F.lit(False))).drop(score, flag)
+
+    def validate(self, df: DataFrame, column: str = "text", verdict: str = "verdict") -> DataFrame:
+        """df with 'missing', 'blank', 'garbled' or 'ok' for each text: what a form or an intake would answer."""
+        flag = fresh(df.columns, "__flag")
+        rows = self.transform(df, column, fresh(df.columns, "__score"), flag)
+        text, blank = F.col(f"`{column}`"), F.expr(Dialect(False).blank(f"`{column}`"))
+        said = F.when(text.isNull(), "missing").when(blank, "blank").when(F.col(flag), "garbled").otherwise("ok")
+        return rows.select(*(F.col(f"`{c}`") for c in df.columns), said.alias(verdict))
 
 
 class Ensemble:
@@ -134,16 +203,14 @@ class Ensemble:
 
     def transform(self, df: DataFrame, column: str = "text", score: str = "score", flag: str = "flag") -> DataFrame:
         own = [*df.columns]
-        for i, m in enumerate(self.members):
-            df = m.with_score(df, column, f"__s{i}", f"__a{i}")
-            df = df.withColumn(f"__s{i}", F.when(F.col(f"__a{i}"), F.col(f"__s{i}"))).drop(f"__a{i}")
-        total, voted = self.combine([f"__s{i}" for i in range(len(self.members))])
+        names = [(fresh(own, f"__s{i}"), fresh(own, f"__a{i}")) for i in range(len(self.members))]
+        df = with_scores(df, column, [(m, s, a) for m, (s, a) in zip(self.members, names, strict=True)])
+        df = df.withColumns({s: F.when(F.col(a), F.col(s)) for s, a in names})
+        total, voted = self.combine([s for s, _ in names])
         text, blank = F.col(f"`{column}`"), F.expr(Dialect(False).blank(f"`{column}`"))
         return df.select(*(F.col(f"`{c}`") for c in own), F.when(text.isNotNull(), F.expr(total)).alias(score), F.when(text.isNotNull(), ~blank & F.expr(voted)).alias(flag))
 
 
 def all_scores(df: DataFrame, column: str = "text", names=None, lexicon: Lexicon | None = None) -> DataFrame:
     """df with a column for each scorer."""
-    for name in names or REGISTRY:
-        df = Detector(name, lexicon=lexicon).with_score(df, column, name)
-    return df
+    return with_scores(df, column, [(Detector(n, lexicon=lexicon), n, None) for n in names or REGISTRY])

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Dialect
-from .detector import Detector
+from .detector import Detector, fresh, with_scores
 
 
 def predictions(cases: DataFrame, names: list[str], text: str = "text", expected: str = "expected", threshold: float = 0.5, lexicon=None) -> DataFrame:
     """cases with a row for each scorer: strategy, score, predicted, correct."""
-    own = [c for c in cases.columns]
-    for n in names:
-        cases = Detector(n, threshold, lexicon=lexicon).with_score(cases, text, f"__{n}")
-    stacked = cases.select(*own, F.expr(f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, __{n}' for n in names)}) AS (strategy, score)"))
+    own = [*cases.columns]
+    columns = [fresh(own, f"__{n}") for n in names]
+    scored = with_scores(cases, text, [(Detector(n, threshold, lexicon=lexicon), c, None) for n, c in zip(names, columns, strict=True)])
+    stacked = scored.select(*(F.col(f"`{c}`") for c in own), F.expr(f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {c}' for n, c in zip(names, columns, strict=True))}) AS (strategy, score)"))
     said = ~F.expr(Dialect(False).blank(f"`{text}`")) & (F.col("score") >= threshold)
     return stacked.withColumn("predicted", said).withColumn("correct", F.col("predicted") == F.col(expected))
 
 
+def elapsed(cases: DataFrame, names: list[str], text: str = "text", lexicon=None) -> DataFrame:
+    """(strategy, seconds): the wall-clock time that each scorer takes over all cases, one job each."""
+    took = []
+    for n in names:
+        began = time.perf_counter()
+        Detector(n, lexicon=lexicon).with_score(cases.select(text), text, "score").select("score").write.format("noop").mode("overwrite").save()
+        took.append((n, time.perf_counter() - began))
+    return cases.sparkSession.createDataFrame(took, "strategy string, seconds double")
+
+
 def metrics(rows: DataFrame, by: list[list[str]], expected: str = "expected") -> DataFrame:
     """Confusion counts, accuracy, precision, recall and F1 for each grouping set, in one aggregation. Columns that a set leaves out are null; `level` numbers the set."""
     keys = list(dict.fromkeys(k for s in by for k in s))

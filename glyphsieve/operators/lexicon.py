@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import math
+import os
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
@@ -10,7 +13,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import AFFIX_PREFIXES, COLLOCATIONS, FUNCTION_WORDS
+from ..functions.tables import COLLOCATION_RULES, FUNCTION_WORDS
 
 LETTERS = " abcdefghijklmnopqrstuvwxyz"
 UNSEEN = -10_000_000
@@ -83,14 +86,28 @@ def trigram_top(freq: DataFrame, top: int = 2_000) -> DataFrame:
     return _grams(freq, 3, False).select(F.col("g").alias("trigram"), "cnt").orderBy(F.desc("cnt"), "trigram").limit(top)
 
 
+CONSONANTS = "bcdfghjklmnpqrstvwxyz"
+#: Where the shipped lexicon's words come from: a file of byte-pair ranks whose name `public_tokenizers.path` knows, or a path.
+VOCABULARY = os.environ.get("GLYPHSIEVE_VOCABULARY", "byte_bpe_50k.tiktoken")
+
+
 @cache
-def seed() -> Lexicon:
-    """The lexicon that ships: the closed-class and collocation words of the rules, weighted by rank. Train a real one for real use."""
-    words: dict[str, int] = {}
-    order = [*FUNCTION_WORDS, *(w for pair in COLLOCATIONS for w in pair), *(p + "ing" for p in AFFIX_PREFIXES if len(p) > 4)]
-    for w in order:
-        if len(w) >= 2 and w not in words:
-            words[w] = 100_000 // (len(words) + 10)
+def ranked(vocabulary: str = VOCABULARY) -> dict[str, int]:
+    """The whole words, in their own case, of a byte-pair vocabulary, with their ranks: its tokens of a blank and two or more ASCII letters. Empty where the file isn't there."""
+    if not os.path.exists(vocabulary):
+        try:
+            import public_tokenizers
+        except ModuleNotFoundError:
+            return {}
+        vocabulary = public_tokenizers.path(vocabulary)
+    with open(vocabulary, "rb") as f:
+        pairs = (line.split() for line in f)
+        tokens = ((base64.b64decode(a), int(b)) for a, b in pairs)
+        return {t[1:].decode(): r for t, r in tokens if re.fullmatch(rb" [A-Za-z]{2,}", t)}
+
+
+def of_frequencies(words: dict[str, int], top_trigrams: int = 2_000, name: str = "custom") -> Lexicon:
+    """The lexicon that train() gives for these words and counts, computed here: for word lists, not for corpora."""
     pair, tri = Counter(), Counter()
     for w, n in words.items():
         s = f" {w} "
@@ -100,4 +117,34 @@ def seed() -> Lexicon:
             tri[w[i : i + 3]] += n
     row = {a: sum(pair[a + b] + 1 for b in LETTERS) for a in LETTERS}
     pairs = tuple(round(math.log((pair[a + b] + 1) / row[a]) * 1_000_000) for a in LETTERS for b in LETTERS)
-    return Lexicon(tuple(sorted(words)), pairs, tuple(sorted(t for t, _ in sorted(tri.items(), key=lambda x: (-x[1], x[0]))[:400])), "seed")
+    common = sorted(tri.items(), key=lambda x: (-x[1], x[0]))[:top_trigrams]
+    return Lexicon(tuple(sorted(words)), pairs, tuple(sorted(t for t, _ in common)), name)
+
+
+@cache
+def seed() -> Lexicon:
+    """The lexicon that ships: the lower-case words of VOCABULARY, weighted by rank, and the words of the rules. Train one from a corpus for its language."""
+    words: dict[str, int] = {}
+    for w, r in ranked().items():
+        if w == w.lower():
+            words[w] = 30_000_000 // (r + 2_000)
+    for w in [*FUNCTION_WORDS, *(w for sides in COLLOCATION_RULES for side in sides for w in side)]:
+        if len(w) >= 2:
+            words.setdefault(w, 1_000)
+    return of_frequencies(words, name="seed")
+
+
+@cache
+def never_start() -> list[str]:
+    """Pairs of letters that no word of the shipped lexicon starts with, in any case: two consonants, or q and a vowel."""
+    seen = {w[:2].lower() for w in ranked()} | {w[:2] for w in seed().words}
+    pairs = [a + b for a in CONSONANTS for b in CONSONANTS] + ["qa", "qe", "qi", "qo"]
+    return sorted(p for p in pairs if p not in seen and p[0] != p[1])
+
+
+@cache
+def forbidden() -> list[str]:
+    """Pairs of consonants, without y, that no word of the shipped lexicon holds, and q before any other vowel than u."""
+    seen = {w[i : i + 2] for w in seed().words for i in range(len(w) - 1)}
+    letters = CONSONANTS.replace("y", "")
+    return sorted(p for p in [a + b for a in letters for b in letters] + ["qe", "qi", "qo", "qy"] if p not in seen)

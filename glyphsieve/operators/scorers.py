@@ -14,7 +14,7 @@ from functools import cache
 
 from ..functions import tables as T
 from ..functions.dialect import WS, Dialect, digits, ranges
-from .lexicon import LETTERS, UNSEEN, Lexicon, seed
+from .lexicon import UNSEEN, Lexicon, forbidden, never_start, seed
 
 URLS = r"^(https?://|ftp://|file://|data:|www\.)"
 
@@ -26,13 +26,18 @@ class Plan:
     applicable: str | None = None
 
 
+def gates(q: Dialect, text: str, most: int = 1000) -> list[tuple[str, str]]:
+    """The conditions that settle a score before its scorer is asked, and the scores."""
+    long_ = f"length({text}) > {most} AND NOT {q.has(text, f'[{WS}]')} AND NOT {q.has(f'lower({text})', URLS)}"
+    return [(f"{text} IS NULL", "CAST(NULL AS DOUBLE)"), (q.blank(text), q.num(0.0)), (long_, q.num(1.0))]
+
+
 @dataclass(frozen=True)
 class Scorer:
     name: str
     build: Callable
     defaults: dict
     checks: tuple
-    portable: bool
 
     def params(self, given: dict) -> dict:
         p = {**self.defaults, **given}
@@ -43,20 +48,37 @@ class Scorer:
 
     def plan(self, q: Dialect, text: str, lexicon: Lexicon | None = None, **given) -> Plan:
         plan = self.build(q, text, lexicon or seed(), self.params(given))
-        most = given.get("max_string_length", 1000)
-        long_ = f"length({text}) > {most} AND NOT {q.has(text, f'[{WS}]')} AND NOT {q.has(f'lower({text})', URLS)}"
-        score = f"CASE WHEN {text} IS NULL THEN NULL WHEN {q.blank(text)} THEN {q.num(0.0)} WHEN {long_} THEN {q.num(1.0)} ELSE CAST({plan.score} AS DOUBLE) END"
-        return Plan(score, plan.steps, plan.applicable)
+        settled = " ".join(f"WHEN {a} THEN {b}" for a, b in gates(q, text, given.get("max_string_length", 1000)))
+        return Plan(f"CASE {settled} ELSE CAST({plan.score} AS DOUBLE) END", plan.steps, plan.applicable)
+
+
+@dataclass(frozen=True)
+class ColumnScorer(Scorer):
+    """A scorer given as a function of a column, a Pandas UDF for instance: build(text, **params) -> Column. It has no SQL of its own."""
+
+    applies: Callable | None = None
 
 
 REGISTRY: dict[str, Scorer] = {}
 
 
-def scorer(name: str, checks: tuple = (), portable: bool = True, **defaults):
-    """Register a builder (dialect, text, lexicon, params) -> Plan. portable: another engine can run it too."""
+def scorer(name: str, checks: tuple = (), **defaults):
+    """Register a builder (dialect, text, lexicon, params) -> Plan, SQL that both dialects can run."""
+
+    def add(build):
+        REGISTRY[name] = Scorer(name, build, defaults, checks)
+        return build
+
+    return add
+
+
+def column_scorer(name: str, checks: tuple = (), applies: Callable | None = None, **defaults):
+    """Register (text column, **params) -> column of scores in [0, 1]; applies: (text column) -> boolean column. A name can't be taken twice."""
 
     def add(build):
-        REGISTRY[name] = Scorer(name, build, defaults, checks, portable)
+        if name in REGISTRY:
+            raise ValueError(f"a scorer is named {name} already")
+        REGISTRY[name] = ColumnScorer(name, build, defaults, checks, applies)
         return build
 
     return add
@@ -87,22 +109,28 @@ def plain(q: Dialect, t: str) -> str:
     return q.find(f"lower({q.fold(t)})", "[a-z]+")
 
 
-def novel(q: Dialect, t: str, lex: Lexicon, titles: bool = False) -> str:
-    """Lower-case words that nothing vouches for: no digits, addresses, acronyms, known words, nor, if titles, capitalised ones."""
+def novel(q: Dialect, t: str, lex: Lexicon, titles: bool = False) -> list[tuple[str, str]]:
+    """Steps to w: lower-case words that nothing vouches for: no digits, addresses, acronyms, known words, nor, if titles, capitalised ones."""
     keep = q.where(q.tokens(t), lambda x: f"NOT {q.has(x, f'[{digits()}]')} AND NOT {q.has(f'lower({x})', r'://|@|^www\.')}" + (f" AND NOT ({q.has(x, r'^\p{Lu}')} AND lower(substring({x}, 2)) = substring({x}, 2))" if titles else ""))
     bare = q.transform(keep, lambda x: f"CASE WHEN {upper_word(x)} AND length({letters(q, x)}) <= 6 THEN '' ELSE lower({letters(q, q.fold(x))}) END")
-    return q.where(bare, lambda x: f"{x} <> '' AND NOT {q.among(x, lex.words)}")
+    return [("bare", q.where(bare, lambda x: f"{x} <> ''")), *q.known_steps("bare", "dict", lex.words), ("w", q.where("bare", lambda x: f"NOT {q.member(x, 'dict', lex.words)}"))]
+
+
+@cache
+def pair_table(lex: Lexicon, across: bool = True) -> tuple[int, ...]:
+    """The lexicon's pairs in 32 rows of 32; pairs with a blank count as 0 unless across."""
+    at = lambda r, c: 0 if not across and not r * c else lex.pairs[r * 27 + c] if r < 27 and c < 27 else UNSEEN
+    return tuple(at(r, c) for r in range(32) for c in range(32))
 
 
-def pair(q: Dialect, lex: Lexicon, s: str, i: str) -> str:
-    at = lambda c: f"nullif(instr({q.lit(LETTERS)}, {c}), 0)"
-    return f"coalesce({q.at(q.longs(lex.pairs), f'({at(q.part(s, i, "1"))} - 1) * 27 + {at(q.part(s, f"{i} + 1", "1"))} - 1')}, {UNSEEN})"
+def padded(q: Dialect, words: str) -> str:
+    """The words with a blank between and around them, other letters than a-z as ~: its pairs are those of the padded words."""
+    return f"concat(' ', {q.swap(q.join(words, ' '), '[^a-z ]', '~')}, ' ')"
 
 
-def word_total(q: Dialect, lex: Lexicon, w: str, padded: bool = True) -> str:
-    """The sum of a word's pair log-probabilities, in millionths."""
-    s, n = (f"concat(' ', {w}, ' ')", f"length({w}) + 1") if padded else (w, f"length({w}) - 1")
-    return q.total(q.transform(q.upto(n), lambda i: f"CAST({pair(q, lex, s, i)} AS BIGINT)"))
+def pair_total(q: Dialect, lex: Lexicon, text: str, across: bool = True) -> str:
+    """The sum of a padded text's pair log-probabilities, in millionths."""
+    return q.total(q.pair_values(text, pair_table(lex, across)))
 
 
 def lengths(q: Dialect, items: str, extra: int = 0) -> str:
@@ -123,30 +151,30 @@ def title_share(q: Dialect, t: str) -> str:
 
 @scorer("markov_chain", (((lambda p: p["threshold_per_char"] <= 0), "threshold_per_char must be <= 0"), least("min_length", 1)), threshold_per_char=-3.5, min_length=3)
 def _markov(q, t, lex, p):
-    total = q.total(q.transform("w", lambda w: word_total(q, lex, w)))
-    z = f"-2 * ({q.num(p['threshold_per_char'])} - CAST({total} AS DOUBLE) / 1000000 / n)"
-    return Plan(f"CASE WHEN n - 1 < {p['min_length']} THEN 0 ELSE 1 / (1 + exp({z})) END", [("w", novel(q, t, lex)), ("n", lengths(q, "w", 1))])
+    z = f"-2 * ({q.num(p['threshold_per_char'])} - CAST({pair_total(q, lex, 's')} AS DOUBLE) / 1000000 / n)"
+    return Plan(f"CASE WHEN n - 1 < {p['min_length']} THEN 0 ELSE 1 / (1 + exp({z})) END", [*novel(q, t, lex), ("n", lengths(q, "w", 1)), ("s", padded(q, "w"))])
 
 
 @scorer("ngram_frequency", (within("common_ratio_threshold"), least("min_length", 1)), common_ratio_threshold=0.3, min_length=4)
 def _ngram(q, t, lex, p):
     c, one = q.num(p["common_ratio_threshold"]), p["common_ratio_threshold"] == 1
     above = "0" if one else f"0.4 * (1 - (r - {c}) / (1 - {c}))"
-    steps = [("g", q.flat(q.transform(novel(q, t, lex), lambda w: q.grams(w, 3)))), ("r", f"CASE WHEN {q.size('g')} = 0 THEN {q.num(1.0)} ELSE {q.ratio(hits(q, 'g', lex.trigrams), q.size('g'))} END")]
+    steps = [*novel(q, t, lex), ("g", q.flat(q.transform("w", lambda w: q.grams(w, 3)))), *q.known_steps("g", "common", lex.trigrams)]
+    steps.append(("r", f"CASE WHEN {q.size('g')} = 0 THEN {q.num(1.0)} ELSE {q.ratio(q.size(q.where('g', lambda x: q.member(x, 'common', lex.trigrams))), q.size('g'))} END"))
     return Plan(f"CASE WHEN length({letters(q, t)}) < {p['min_length']} THEN 0 WHEN r >= {c} THEN {above} ELSE 1 - 0.5 * r / {c} END", steps)
 
 
 @scorer("log_likelihood_ratio", llr_midpoint=-1.0, llr_scale=1.5, min_bigrams=3)
 def _llr(q, t, lex, p):
-    mean = f"(CAST({q.total(q.transform('w', lambda w: word_total(q, lex, w)))} AS DOUBLE) / 1000000 / n + ln(CAST(27 AS DOUBLE)))"
+    mean = f"(CAST({pair_total(q, lex, 's')} AS DOUBLE) / 1000000 / n + ln(CAST(27 AS DOUBLE)))"
     z = clamp(f"{q.num(p['llr_scale'])} * ({mean} - {q.num(p['llr_midpoint'])})", "-50", "50")
-    return Plan(f"CASE WHEN n < {p['min_bigrams']} OR n = 0 THEN 0 ELSE 1 / (1 + exp({z})) END", [("w", plain(q, t)), ("n", lengths(q, "w", 1))], f"n >= {p['min_bigrams']}")
+    return Plan(f"CASE WHEN n < {p['min_bigrams']} OR n = 0 THEN 0 ELSE 1 / (1 + exp({z})) END", [("plain", plain(q, t)), ("n", lengths(q, "plain", 1)), ("s", padded(q, "plain"))], f"n >= {p['min_bigrams']}")
 
 
 @scorer("word_anomaly", word_log_prob_threshold=-4.6, min_word_length=4, anomaly_weight=2.0)
 def _anomaly(q, t, lex, p):
-    odd = q.size(q.where("w", lambda w: f"CAST({word_total(q, lex, w)} AS DOUBLE) / 1000000 / (length({w}) + 1) < {q.num(p['word_log_prob_threshold'])}"))
-    return Plan(f"least(CAST(1 AS DOUBLE), {q.num(p['anomaly_weight'])} * {q.ratio(odd, q.size('w'))})", [("w", q.where(plain(q, t), lambda w: f"length({w}) >= {p['min_word_length']}"))], f"{q.size('w')} >= 1")
+    odd = q.size(q.where("w", lambda w: f"CAST({pair_total(q, lex, f"concat(' ', {w}, ' ')")} AS DOUBLE) / 1000000 / (length({w}) + 1) < {q.num(p['word_log_prob_threshold'])}"))
+    return Plan(f"least(CAST(1 AS DOUBLE), {q.num(p['anomaly_weight'])} * {q.ratio(odd, q.size('w'))})", [("plain", plain(q, t)), ("w", q.where("plain", lambda w: f"length({w}) >= {p['min_word_length']}"))], f"{q.size('w')} >= 1")
 
 
 @scorer("entropy_based")
@@ -155,10 +183,11 @@ def _entropy(q, t, lex, p):
         ("w", q.where(q.transform(q.tokens(f"lower({q.fold(t)})"), lambda x: letters(q, x)), lambda x: f"{x} <> ''")),
         ("s", q.join("w", "")),
         ("n", "CAST(length(s) AS BIGINT)"),
-        ("c", q.transform(q.distinct(q.flat(q.transform("w", lambda w: q.distinct(q.find(w, "."))))), lambda x: f"CAST(length(s) - length(replace(s, {x}, '')) AS DOUBLE) / n")),
+        ("c", q.transform(q.distinct(q.chars("s")), lambda x: f"CAST(length(s) - length(replace(s, {x}, '')) AS DOUBLE) / n")),
         ("h", f"-({q.total_double(q.transform('c', lambda x: f'{x} * ln({x}) / ln(CAST(2 AS DOUBLE))'))})"),
         ("k", q.total(q.transform("w", lambda w: f"CAST(length({w}) - 1 AS BIGINT)"))),
-        ("b", f"CASE WHEN k = 0 THEN {q.num(0.0)} ELSE {clamp(f'(-(CAST({q.total(q.transform("w", lambda w: word_total(q, lex, w, False)))} AS DOUBLE) / 1000000 / k) - 4.5) / 3')} END"),
+        ("z", padded(q, "w")),
+        ("b", f"CASE WHEN k = 0 THEN {q.num(0.0)} ELSE {clamp(f'(-(CAST({pair_total(q, lex, "z", False)} AS DOUBLE) / 1000000 / k) - 4.5) / 3')} END"),
     ]
     top = "CASE WHEN n > 1 THEN least(CAST(4.1 AS DOUBLE), ln(CAST(n AS DOUBLE)) / ln(CAST(2 AS DOUBLE))) ELSE CAST(4.1 AS DOUBLE) END"
     return Plan(f"CASE WHEN n = 0 THEN 0 ELSE 0.4 * (1 - least(h / ({top}), CAST(1 AS DOUBLE))) + 0.6 * b END", steps)
@@ -182,7 +211,7 @@ def _trigrams(q, t, lex, p):
 def _position(q, t, lex, p):
     steps = [
         ("w", q.where(q.find(f"lower({t})", r"\p{L}+"), lambda x: f"length({x}) >= {max(2, p['min_word_length'])}")),
-        ("k", f"{q.size(q.where('w', lambda x: q.among(f'substring({x}, 1, 2)', T.NEVER_START)))} + {q.size(q.where('w', lambda x: f'{x} LIKE {q.lit("%j")}'))}"),
+        ("k", f"{q.size(q.where('w', lambda x: q.among(f'substring({x}, 1, 2)', never_start())))} + {q.size(q.where('w', lambda x: f'{x} LIKE {q.lit("%j")}'))}"),
         ("r", q.ratio("k", f"2 * {q.size('w')}")),
     ]
     c = q.num(p["threshold"])
@@ -206,7 +235,7 @@ def _vowels(q, t, lex, p):
 
 @scorer("letter_frequency", deviation_threshold=1.0, min_length=20)
 def _letters(q, t, lex, p):
-    steps = [("s", q.join(novel(q, t, lex), "")), ("n", "CAST(length(s) AS BIGINT)"), ("c", ("[" if q.duck else "array(") + ", ".join(q.count("s", x) for x in sorted(T.ENGLISH_PERCENT)) + ("]" if q.duck else ")"))]
+    steps = [*novel(q, t, lex), ("s", q.join("w", "")), ("n", "CAST(length(s) AS BIGINT)"), ("c", ("[" if q.duck else "array(") + ", ".join(q.count("s", x) for x in sorted(T.ENGLISH_PERCENT)) + ("]" if q.duck else ")"))]
     alphabet = sorted(T.ENGLISH_PERCENT)
     some = lambda of: " + ".join(q.at("c", str(alphabet.index(x))) for x in of)
     other = q.most(q.transform(q.distinct(q.find("s", "[^a-z]")), lambda x: f"CAST(length(s) - length(replace(s, {x}, '')) AS BIGINT)"))
@@ -221,7 +250,7 @@ def _letters(q, t, lex, p):
 @scorer("keyboard_pattern")
 def _keyboard(q, t, lex, p):
     rows = sorted({x for r in T.KEYBOARD_ROWS for i in range(len(r) - 2) for x in (r[i : i + 3], r[i : i + 3][::-1])})
-    steps = [("g", q.flat(q.transform(novel(q, t, lex), lambda w: q.grams(w, 3)))), ("n", q.size("g"))]
+    steps = [*novel(q, t, lex), ("g", q.flat(q.transform("w", lambda w: q.grams(w, 3)))), ("n", q.size("g"))]
     common = f"CASE WHEN n >= 15 THEN 0.7 * greatest(CAST(0 AS DOUBLE), 1 - {q.ratio(hits(q, 'g', T.KEYBOARD_COMMON), 'n')} / 0.15) * least(CAST(1 AS DOUBLE), CAST(n AS DOUBLE) / 28) ELSE 0 END"
     again = f"CASE WHEN {q.again(f'lower({letters(q, t)})', r'\p{L}', 2, 3)} THEN CAST(0.5 AS DOUBLE) ELSE 0 END"
     return Plan(f"least(CAST(1 AS DOUBLE), greatest(least({q.ratio(hits(q, 'g', rows), 'n')} / 0.3, CAST(1 AS DOUBLE)), {common}, {again}))", steps)
@@ -236,18 +265,18 @@ def _neighbours() -> list[str]:
 
 @scorer("keyboard_adjacency", min_word_length=5, chain_threshold=6, row_run_threshold=6)
 def _adjacency(q, t, lex, p):
-    steps = [("w", q.where(plain(q, t), lambda x: f"length({x}) >= {p['min_word_length']}"))]
+    steps = [("plain", plain(q, t)), ("w", q.where("plain", lambda x: f"length({x}) >= {p['min_word_length']}")), *q.known_steps("w", "dict", lex.words)]
     touch = _neighbours()
     chain = lambda x: longest(q, q.find(q.join(q.transform(q.grams(x, 2), lambda g: f"CASE WHEN {q.among(g, touch)} THEN '1' ELSE '0' END"), ""), "1+")) + " + 1"
     rows = lambda x: longest(q, q.find(x, "|".join(f"[{r}]+" for r in T.KEYBOARD_ROWS)))
-    mashed = q.size(q.where("w", lambda x: f"NOT {q.among(x, lex.words)} AND ({chain(x)} >= {p['chain_threshold']} OR (length({q.swap(x, '[^aeiou]')}) <= 1 AND {rows(x)} >= {p['row_run_threshold']}))"))
+    mashed = q.size(q.where("w", lambda x: f"NOT {q.member(x, 'dict', lex.words)} AND ({chain(x)} >= {p['chain_threshold']} OR (length({q.swap(x, '[^aeiou]')}) <= 1 AND {rows(x)} >= {p['row_run_threshold']}))"))
     steps.append(("k", mashed))
     return Plan(f"CASE WHEN k = 0 THEN 0 ELSE least(CAST(1 AS DOUBLE), 0.6 + 0.4 * k / CAST({q.size('w')} AS DOUBLE)) END", steps)
 
 
 @scorer("word_lookup", (within("unknown_threshold"), least("min_word_length", 1)), unknown_threshold=0.5, min_word_length=2)
 def _lookup(q, t, lex, p):
-    steps = [("w", q.where(q.find(q.fold(t), "[a-zA-Z]+"), lambda x: f"length({x}) >= {p['min_word_length']}")), ("u", q.where("w", lambda x: f"NOT {q.among(f'lower({x})', lex.words)}"))]
+    steps = [("w", q.where(q.find(q.fold(t), "[a-zA-Z]+"), lambda x: f"length({x}) >= {p['min_word_length']}")), *q.known_steps(q.transform("w", lambda x: f"lower({x})"), "dict", lex.words), ("u", q.where("w", lambda x: f"NOT {q.member(f'lower({x})', 'dict', lex.words)}"))]
     return Plan(q.ratio(f"({q.size('u')} - 0.5 * {q.size(q.where('u', lambda x: q.has(x, '^[A-Z][a-z]*$')))})", q.size("w")), steps)
 
 
@@ -281,7 +310,8 @@ def _zipf(q, t, lex, p):
         ("n", q.size("s")),
         ("r", q.ratio(q.size(q.distinct("s")), "n")),
         ("h", q.ratio(q.size(q.where(q.upto("n"), alone)), "n")),
-        ("known", f"{hits(q, 's', T.FUNCTION_WORDS)} > 0 OR {q.ratio(q.size(q.where('s', lambda x: f'NOT {q.among(x, lex.words)}')), 'n')} < 0.5"),
+        *q.known_steps("s", "dict", lex.words),
+        ("known", f"{hits(q, 's', T.FUNCTION_WORDS)} > 0 OR {q.ratio(q.size(q.where('s', lambda x: f'NOT {q.member(x, "dict", lex.words)}')), 'n')} < 0.5"),
     ]
     over = lambda x, c, v: f"CASE WHEN {x} > {c} THEN 0.45 * ({x} - {c}) / (1 - {c}) ELSE 0 END" if v < 1 else "0"
     raw = f"CASE WHEN r = 1 THEN CAST(0.9 AS DOUBLE) ELSE {clamp(f'{over("r", a, p["ttr_threshold"])} + {over("h", b, p["hapax_threshold"])} + CASE WHEN r > {a} AND h > {b} THEN 0.1 ELSE 0 END')} END"
@@ -291,11 +321,12 @@ def _zipf(q, t, lex, p):
 @scorer("word_collocation", (least("min_words", 2),), min_words=8, zero_collocation_min_words=12)
 def _collocations(q, t, lex, p):
     trimmed = q.where(q.transform(q.find(f"lower({t})", "[a-z']+"), lambda x: f"trim(BOTH {q.lit(chr(39))} FROM {x})" if not q.duck else f"trim({x}, {q.lit(chr(39))})"), lambda x: f"{x} <> ''")
+    common = lambda a, b: " OR ".join(f"({q.among(a, left)} AND {q.among(b, right)})" for left, right in T.COLLOCATION_RULES)
     named = q.where(q.tokens(t), lambda x: q.has(x, r"\p{L}"))
     steps = [
         ("w", trimmed),
         ("n", q.size("w")),
-        ("k", hits(q, q.transform(q.upto("n - 1"), lambda i: f"concat({q.at('w', i)}, ' ', {q.at('w', f'{i} + 1')})"), [f"{a} {b}" for a, b in T.COLLOCATIONS])),
+        ("k", q.size(q.where(q.upto("n - 1"), lambda i: common(q.at("w", i), q.at("w", f"{i} + 1"))))),
         ("u", q.ratio(q.size(q.where(named, lambda x: q.has(x, r"^\P{L}*\p{Lu}"))), q.size(named))),
         ("m", q.size(q.where("w", lambda x: f"length({x}) >= 3"))),
     ]
@@ -307,13 +338,14 @@ def _collocations(q, t, lex, p):
 def _pronounce(q, t, lex, p):
     c = "bcdfghjklmnpqrstvwxz"
     steps = [
-        ("w", q.where(novel(q, t, lex, True), lambda x: f"length({x}) >= 4")),
-        ("long", q.where("w", lambda x: f"length({x}) >= {p['min_word_length']}")),
+        *novel(q, t, lex, True),
+        ("x4", q.where("w", lambda x: f"length({x}) >= 4")),
+        ("long", q.where("x4", lambda x: f"length({x}) >= {p['min_word_length']}")),
         ("o", q.transform("long", lambda x: q.first(x, f"^y?[{c}]*"))),
         ("e", q.transform("long", lambda x: f"CASE WHEN {q.first(x, f'(?:^y)?[{c}]*$')} = {q.first(x, f'^y?[{c}]*')} THEN '' ELSE {q.first(x, f'(?:^y)?[{c}]*$')} END")),
-        ("f", " + ".join(hits(q, q.flat(q.transform(q.where(side, lambda x, ok=ok: f"length({x}) >= 2 AND NOT {q.among(x, ok)}"), lambda x: q.grams(x, 2))), sorted(set(T.FORBIDDEN) - set(ok))) for side, ok in (("o", T.ONSETS), ("e", T.CODAS)))),
-        ("n", lengths(q, "w")),
-        ("v", q.ratio(q.total(q.transform("w", lambda x: f"CAST(length({q.swap(x, '^y|[^aeiouy]')}) AS BIGINT)")), "n")),
+        ("f", " + ".join(hits(q, q.flat(q.transform(q.where(side, lambda x, ok=ok: f"length({x}) >= 2 AND NOT {q.among(x, ok)}"), lambda x: q.grams(x, 2))), sorted(set(forbidden()) - set(ok))) for side, ok in (("o", T.ONSETS), ("e", T.CODAS)))),
+        ("n", lengths(q, "x4")),
+        ("v", q.ratio(q.total(q.transform("x4", lambda x: f"CAST(length({q.swap(x, '^y|[^aeiouy]')}) AS BIGINT)")), "n")),
         ("many", q.where("o", lambda x: f"length({x}) >= 2")),
         ("x1", f"CASE WHEN f >= {p['forbidden_cluster_threshold']} THEN least(CAST(1 AS DOUBLE), CAST(0.6 AS DOUBLE) + CAST(0.1 AS DOUBLE) * f) END"),
         ("x2", f"CASE WHEN n > 0 AND v < {q.num(p['vowel_min_ratio'])} THEN 1 - v / {q.num(max(p['vowel_min_ratio'], 1e-12))} END"),
@@ -371,28 +403,29 @@ def _symbols(q, t, lex, p):
     return Plan(f"CASE WHEN n < {p['min_length']} OR n = 0 OR r = 0 THEN 0 WHEN r <= {q.num(c)} THEN {low} ELSE {high} END", steps)
 
 
-@scorer("repetition", (least("max_char_repeat", 1), least("max_pattern_repeat", 1), within("diversity_threshold")), portable=False, max_char_repeat=3, max_pattern_repeat=3, diversity_threshold=0.3)
+@scorer("repetition", (least("max_char_repeat", 1), least("max_pattern_repeat", 1), within("diversity_threshold")), max_char_repeat=3, max_pattern_repeat=3, diversity_threshold=0.3)
 def _repetition(q, t, lex, p):
     d = p["diversity_threshold"]
-    runs = rf"([a-z0-9])\1{{{p['max_char_repeat']},}}"
-    unit = lambda n, k, by: f"least(CAST(1 AS DOUBLE), CAST({longest(q, q.where(q.find('s', rf'(?d)(.{{{n}}})\1{{{k},}}'), lambda m: q.has(f'substring({m}, 1, {n})', r'[\p{L}\p{N}]')))} AS DOUBLE) / {by})"
     steps = [
         ("s", f"lower({t})"),
         ("w", q.find("s", "[a-z0-9]+")),
         ("n", q.size("w")),
         # a word with most of the places holds the middle one of the sorted words
-        ("sorted", "array_sort(w)"),
+        ("sorted", f"{'list_sort' if q.duck else 'array_sort'}(w)"),
         ("middle", q.at("sorted", "floor(n / 2)")),
         ("k", q.size(q.where("w", lambda x: f"{x} = middle"))),
         ("cycle", f"n >= 5 AND {q.at('w', '0')} <> {q.at('w', '1')} AND {q.size(q.where(q.upto('n'), lambda i: f'{q.at("w", i)} <> {q.at("w", f"{i} % 2")}'))} = 0"),
         ("chars", q.find("s", r"[\p{L}\p{N}]")),
         ("m", q.size("chars")),
-        ("v", f"CASE WHEN m < 4 THEN {q.num(1.0)} ELSE CAST({q.size(q.distinct('chars'))} AS DOUBLE) / least(m, 36L) END"),
+        ("v", f"CASE WHEN m < 4 THEN {q.num(1.0)} ELSE CAST({q.size(q.distinct('chars'))} AS DOUBLE) / least(m, CAST(36 AS BIGINT)) END"),
+        *q.unit_steps("s", 2, p["max_pattern_repeat"] + 1, "two"),
+        *q.unit_steps("s", 3, p["max_pattern_repeat"], "three"),
     ]
+    unit = lambda of, by: f"least(CAST(1 AS DOUBLE), CAST({of} AS DOUBLE) / {by})"
     words = f"CASE WHEN n < 3 THEN CAST(0 AS DOUBLE) WHEN k >= 3 AND {q.ratio('k', 'n')} >= 0.6 THEN {q.ratio('k', 'n')} WHEN cycle THEN CAST(0.8 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
     few = f"CASE WHEN m >= 4 AND v < {q.num(d)} THEN 1 - v / {q.num(d)} ELSE CAST(0 AS DOUBLE) END" if d > 0 else "CAST(0 AS DOUBLE)"
-    chars = f"least(CAST(1 AS DOUBLE), CAST({longest(q, q.find('s', runs))} AS DOUBLE) / 10)"
-    return Plan(f"CASE WHEN length(s) < 3 THEN 0 ELSE greatest({chars}, {unit(2, p['max_pattern_repeat'], 12)}, {unit(3, p['max_pattern_repeat'] - 1, 15)}, {words}, {few}) END", steps)
+    chars = f"least(CAST(1 AS DOUBLE), CAST({longest(q, q.runs('s', p['max_char_repeat'] + 1))} AS DOUBLE) / 10)"
+    return Plan(f"CASE WHEN length(s) < 3 THEN 0 ELSE greatest({chars}, {unit('two', 12)}, {unit('three', 15)}, {words}, {few}) END", steps)
 
 
 @scorer("hex_string", (least("min_hex_length", 0), within("hex_ratio_threshold")), min_hex_length=16, hex_ratio_threshold=0.7)

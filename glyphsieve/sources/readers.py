@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,4 +30,12 @@ def texts_of(spark: SparkSession, texts: list[str | None]) -> DataFrame:
 
 
 def write_report(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("overwrite").json(path)
+    """The measures as JSON lines, each with the time of writing."""
+    metrics.withColumn("generated_at", F.current_timestamp()).write.mode("overwrite").json(path)
+
+
+def report_text(metrics: DataFrame) -> str:
+    """A table, to read, of measures by strategy: one line each, so of bounded size; best F1 first."""
+    rows = metrics.orderBy(F.desc("f1"), "strategy").select("strategy", "total", "accuracy", "precision", "recall", "f1").collect()
+    lines = [f"{datetime.now(timezone.utc):%Y-%m-%d %H:%M} UTC", f"{'strategy':<24}{'total':>10}{'accuracy':>10}{'precision':>10}{'recall':>10}{'f1':>10}"]
+    return "\n".join([*lines, *(f"{r[0]:<24}{r[1]:>10}" + "".join(f"{x:>10.4f}" for x in r[2:]) for r in rows)])

@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from glyphsieve.functions.sql import register
-from glyphsieve.operators import evaluate, lexicon
+from glyphsieve.functions.sql import register, register_explain
+from glyphsieve.operators import evaluate, lexicon, scorers, wordgrain
 from glyphsieve.operators.detector import Detector, Ensemble
-from glyphsieve.sources.readers import read_corpus, texts_of
+from glyphsieve.sources.readers import read_corpus, report_text, texts_of, write_report
 from glyphsieve.streaming.rates import flag_rate, scored
 
 
@@ -136,3 +136,91 @@ def test_streams_match_batches(spark, sf, tmp_path):
     timed = batch.withColumn("at", F.timestamp_seconds(F.col("turn") * 3600))
     rates = flag_rate(timed, d, "at").collect()
     assert sum(r["n"] for r in rates) == batch.where("text is not null").count()
+
+
+def test_default_ensemble(spark):
+    good = ["Hello world", "the quick brown fox", "The committee approved the annual budget yesterday"]
+    assert flags(spark, Ensemble(), [*good, "xkqzv wpfjg mzxcv"])[0] == [False, False, False, True]
+    three = Ensemble(["log_likelihood_ratio", "word_anomaly", "markov_chain"])
+    assert flags(spark, three, ["xkqzv wpfjg mzxcv", "the quick brown fox"])[0] == [True, False]
+
+
+def test_clashing_names(spark):
+    """Columns that are named as the steps and helpers are come through as they were."""
+    df = spark.createDataFrame([("xkqzv wpfjg mzxcv", 1, 2, 3, 4, 5, 6)], "text string, __t int, __x0_ int, __s0 int, __a0 int, __score int, __flag int")
+    for out in (Ensemble().transform(df), Detector("word_anomaly").transform(df), Detector("hex_string").clean(df), Detector("hex_string").validate(df)):
+        assert [out.first()[c] for c in df.columns] == list(df.first())
+
+
+def test_shared_steps(spark):
+    plan = Ensemble(["log_likelihood_ratio", "word_anomaly"]).transform(spark.createDataFrame([("a b",)], "text string"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_own_scorers(spark):
+    import pandas as pd
+
+    @scorers.column_scorer("test_shouting", share=0.5)
+    def shouting(text, share):
+        return F.when(F.regexp_count(text, F.lit("[A-Z]")) >= share * F.length(text), 1.0).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def length(texts: pd.Series) -> pd.Series:
+        return (texts.str.len() / 10).clip(0, 1)
+
+    scorers.column_scorer("test_length", applies=lambda t: F.length(t) > 3)(lambda text: length(text))
+    try:
+        texts = ["HELLO", "hello there", "", None, "A" * 1001]
+        assert flags(spark, Detector("test_shouting"), texts)[1] == [1.0, 0.0, 0.0, None, 1.0]
+        assert flags(spark, Detector("test_length"), ["hello", None])[1] == [0.5, None]
+        assert flags(spark, Ensemble(["test_shouting", "test_length", "hex_string"], "average"), ["HELLO", "abc"])[1] == [0.5, 0.0]
+        with pytest.raises(ValueError):
+            scorers.column_scorer("test_shouting")(shouting)
+    finally:
+        del scorers.REGISTRY["test_shouting"], scorers.REGISTRY["test_length"]
+
+
+def test_validate(spark):
+    rows = Detector("log_likelihood_ratio").validate(texts_of(spark, ["fine words here", "xkqzv wpfjg mzxcv", "  ", None])).orderBy("at").collect()
+    assert [r["verdict"] for r in rows] == ["ok", "garbled", "blank", "missing"]
+
+
+def test_explain_text(spark):
+    name = register_explain(spark, ["hex_string", "zipf_conformity", "letter_position"])
+    rows = {r["strategy"]: (r["applicable"], r["score"], r["flag"]) for r in spark.sql(f"SELECT * FROM {name}('wordj endq')").collect()}
+    assert rows == {"hex_string": (True, 0.0, False), "zipf_conformity": (False, 0.0, False), "letter_position": (True, 0.75, True)}
+    texts_of(spark, ["wordj endq", "plain"]).createOrReplaceTempView("some_texts")
+    assert spark.sql(f"SELECT at, e.* FROM some_texts, LATERAL {name}(text) e WHERE flag").count() == 1
+
+
+def test_reports(spark, tmp_path):
+    cases = spark.createDataFrame([("qxjjxz", True), ("plain text", False)], "text string, expected boolean")
+    m = evaluate.metrics(evaluate.predictions(cases, ["bigram_probability", "hex_string"]), [["strategy"]])
+    write_report(m, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).where("generated_at IS NOT NULL").count() == 2
+    lines = report_text(m).splitlines()
+    assert lines[0].endswith("UTC") and lines[2].startswith("bigram_probability") and len(lines) == 4
+    took = {r["strategy"]: r["seconds"] for r in evaluate.elapsed(cases, ["hex_string"]).collect()}
+    assert took["hex_string"] > 0
+
+
+def test_word_grain(spark, sf):
+    """Joins give what the expressions give."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "a bc")], "doc_id bigint, text string"))
+    a = {r["doc_id"]: r["score"] for r in wordgrain.anomaly(docs, "doc_id").collect()}
+    b = {r["doc_id"]: r["score"] for r in Detector("word_anomaly").with_score(docs, "text", "score").collect()}
+    assert a == b
+    one, two = (spark.createDataFrame([(w,) for w in x], "word string") for x in ("ab", "bcc"))
+    assert {k: sorted(r[0] for r in v.collect()) for k, v in wordgrain.vocabularies(one, two).items()} == {"both": ["b"], "new": ["a"], "unused": ["c"], "either": ["a", "b", "c"]}
+
+
+def test_small_tables_are_spread(spark, sf):
+    from glyphsieve.plans import queries
+
+    docs = queries.table(spark, sf, "documents")
+    assert queries.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    held, queries.BYTES_A_CORE = queries.BYTES_A_CORE, 1
+    try:
+        assert queries.spread(docs) is docs
+    finally:
+        queries.BYTES_A_CORE = held

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from glyphsieve.functions import tables
 from glyphsieve.operators.detector import Detector, all_scores
-from glyphsieve.operators.lexicon import seed
+from glyphsieve.operators.lexicon import forbidden, never_start, seed
 from glyphsieve.operators.scorers import REGISTRY, mojibake_patterns, scripts
 
 FLAGGED = {
@@ -26,10 +26,19 @@ FLAGGED = {
     "keyboard_adjacency": ["asdfgh jklqwe", "qwertyuiop"],
     "keyboard_pattern": ["asdfghjkl", "qwertyuiop zxcvbnm"],
     "pronounceability": ["xkcd qwfp zxcv", "bcdfghjklmnp qrstvwxyz"],
-    "markov_chain": ["xzqkjhf", "bvnmxzq"],
-    "word_lookup": ["xyzzy plugh"],
+    "markov_chain": ["xzqkjhf", "bvnmxzq", "asdfghjkl", "qwertyuiop", "zxcvbnm", "aaaaaaaaa"],
+    "ngram_frequency": ["xzqkjhf", "bvnmxzq", "asdfghjkl"],
+    "log_likelihood_ratio": ["xkqzv wpfjg mzxcv", "wqpzjx mvnbtr"],
+    "word_anomaly": ["xkqzv wpfjg mzxcv", "wqpzjx mvnbtr"],
+    "word_lookup": ["xyzzy plugh", "asdfgh qwerty"],
 }
 PASSED = {
+    "markov_chain": ["hello world", "the quick brown fox", "natural language processing"],
+    "ngram_frequency": ["hello world", "the quick brown fox", "programming language", "hi"],
+    "log_likelihood_ratio": ["the quick brown fox", "Hello there.", "Meeting at 3pm tomorrow.", "rhythms", "strength", "myths", "café résumé naïve"],
+    "word_anomaly": ["the quick brown fox", "The committee approved the annual budget yesterday"],
+    "entropy_based": ["the quick brown fox jumps over the lazy dog"],
+    "word_lookup": ["hello world", "the quick brown fox", "computer science"],
     "bigram_probability": ["lynx", "50 sq ft", "radio jazz"],
     "letter_position": ["Nguyen", "FBI", "Mrs Nguyen met Mr McDonald in Iraq"],
     "consonant_sequence": ["strengths", "NASA FBI HTTP"],
@@ -82,10 +91,11 @@ def scores(spark, cases):
 
 def test_all_there():
     assert len(REGISTRY) == 26
-    assert len(tables.COLLOCATIONS) == 329 and len(tables.NEVER_START) == 329 and len(tables.FORBIDDEN) == 277
+    assert {"xj", "zx", "vb"} <= set(never_start()) and not {"ng", "mr", "mc", "st"} & set(never_start())
+    assert {"qz", "xj", "vk"} <= set(forbidden()) and not {"ct", "ng", "ck"} & set(forbidden())
     assert len(set(tables.FUNCTION_WORDS)) == 143 and len(set(tables.IMPOSSIBLE_BIGRAMS)) == 71
     assert len(mojibake_patterns()) == 24 and len(tables.HOMOGLYPHS) == 46 and len(scripts()) == 6
-    assert len(seed().pairs) == 729
+    assert len(seed().pairs) == 729 and len(seed().trigrams) == 2000 and len(seed().words) > 15_000
 
 
 def test_examples(spark):
@@ -130,4 +140,4 @@ def test_plans_stay_native(spark, sf, name):
     df = Detector(name).with_score(spark.read.parquet(f"{sf}/documents.parquet"), "text", "s").select("doc_id", "s")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
-    assert "html" not in plan and "n_chars" not in plan  # only the columns that are used are read
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan  # only the columns that are used are read
