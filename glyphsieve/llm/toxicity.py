@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Words get log-odds of standing in a toxic rather than another document, under an informative Dirichlet prior that gives
-each word a fixed share of its own corpus count; words whose z-score reaches min_z count in favour, every other word
-against by gap. A linear scan (Ruzzo and Tompa's) finds every maximal-scoring passage of a text. Passage scores are
-calibrated by extreme-value statistics: lambda solves sum p exp(lambda s) = 1 over the word scores of clean documents,
-K is the maximum-likelihood fit to the clean documents' best passages, a passage's E-value is K n exp(-lambda s), and
-the document's evidence is the sum of -log E over its significant passages. A logistic curve maps evidence to a score.
+each word a fixed share of its own corpus count, shrunk towards 0 by their own standard errors: each word counts by its
+own value, less a gap that makes clean text lose on average; unknown words count as 0, less the gap. A linear scan finds
+every maximal-scoring passage of a text. Passage scores are calibrated by extreme-value statistics: lambda solves
+sum p exp(lambda s) = 1 over the word scores of clean documents, K is the maximum-likelihood fit to the clean documents'
+best passages, a passage's E-value is K n exp(-lambda s), and the document's evidence is the sum of -log E over its
+significant passages. A logistic curve maps evidence to a score.
 
 The model learns from at most max_fit labelled documents (those of the smallest hashed ids), each distinct text once.
 
@@ -17,6 +18,7 @@ only doc_id and text are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import fold, table
 
 MAX_FIT = 20_000
-MIN_Z = 2.0
-GAP = 0.1
+#: What each word loses, and the standard errors that its log-odds are shrunk by.
+GAP = 0.5
+ERRORS = 1.5
 PRIOR_SHARE = 0.02
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -40,26 +43,33 @@ def tokens(text: str | None) -> list[str]:
 def segments(at: list[int], scores: list[float], gap: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring runs (first, last, score) of a sequence that scores scores[i] at at[i] and -gap elsewhere, in linear time."""
     found: list[tuple[int, int, float, float]] = []  # first, last, total before first, total after last
+    # places in found of runs that a later one may still join, each beginning lower than the next; a run that begins no
+    # lower than a later one never is the nearest lower one again, so each is taken off once
+    lower: list[int] = []
     total, last = 0.0, -1
     for i, s in zip(at, scores, strict=True):
         total -= gap * (i - last - 1)
-        left, right, first = total, total + s, i
-        while found:
-            # the nearest earlier run that begins lower than this one
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= left:
-                k -= 1
-            if k < 0 or found[k][3] >= right:
+        left, right, first, last = total, total + s, i, i
+        total = right
+        if s <= 0:
+            continue
+        while True:
+            while lower and found[lower[-1]][2] >= left:
+                lower.pop()
+            if not lower or found[lower[-1]][3] >= right:
                 break
+            k = lower.pop()
             first, left = found[k][0], found[k][2]
             del found[k:]
+        lower.append(len(found))
         found.append((first, i, left, right))
-        total, last = right, i
     return [(a, b, r - q) for a, b, q, r in found]
 
 
 @dataclass
 class Model:
+    """words: what each known word scores; all others score -gap."""
+
     words: dict = field(default_factory=dict)
     gap: float = GAP
     rate: float = 1.0
@@ -73,6 +83,11 @@ class Model:
         at = [i for i, x in enumerate(w) if x in known]
         return len(w), segments(at, [known[w[i]] for i in at], self.gap) if at else []
 
+    def best(self, text: str | None) -> tuple[int, float]:
+        """How many words the text has, and the score of its best passage."""
+        n, found = self.passages(text)
+        return n, max((s for *_, s in found), default=0.0)
+
     def evidence(self, n: int, found: list) -> tuple[float, list[tuple[int, int, float]]]:
         """The sum of -log E over the significant passages, and these with their -log E."""
         kept = [(a, b, self.rate * s - np.log(max(self.size * n, 1e-300))) for a, b, s in found]
@@ -114,49 +129,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def counts(sample: DataFrame) -> DataFrame:
-    """Rows (word, toxic, clean): in how many documents of sample (text, _y) a word stands. Summed in each task first."""
+    """Rows (word, toxic, clean, spots): in how many toxic and clean documents of sample (text, _y) a word stands, and how often in clean ones. Summed in each task first."""
 
     def run(batches):
         seen: dict = {}
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["word", "toxic", "clean"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (1, 0, 2))], ["word", "toxic", "clean", "spots"])
 
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in set(tokens(t)):
-                    seen.setdefault(w, [0, 0])[y] += 1
+                for w, k in Counter(tokens(t)).items():
+                    row = seen.setdefault(w, [0, 0, 0])
+                    row[y] += 1
+                    row[2] += 0 if y else k
                 if len(seen) > 300_000:
                     yield out()
                     seen.clear()
         yield out()
 
-    return sample.select("text", "_y").mapInArrow(run, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.select("text", "_y").mapInArrow(run, "word string, toxic bigint, clean bigint, spots bigint").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "spots")))
 
 
-def significant(counted: DataFrame, min_z: float, prior_share: float) -> DataFrame:
-    """Rows (word, toxic, clean, odds): the words whose log-odds are min_z standard errors or more above 0."""
+def shrunken(counted: DataFrame, prior_share: float, errors: float = ERRORS) -> DataFrame:
+    """Rows (word, spots, odds): the words' log-odds under the prior, moved towards 0 by so many of their standard errors, and no further."""
     total = counted.agg(F.sum("toxic").alias("nt"), F.sum("clean").alias("nc"))
     a = F.lit(prior_share) * (F.col("toxic") + F.col("clean"))
     a0 = F.lit(prior_share) * (F.col("nt") + F.col("nc"))
     side = lambda y, n: F.log((F.col(y) + a) / (F.col(n) + a0 - F.col(y) - a))
-    out = counted.join(F.broadcast(total)).withColumn("odds", side("toxic", "nt") - side("clean", "nc"))  # one row
-    return out.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))).where(F.col("z") >= min_z)
+    error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
+    raw = side("toxic", "nt") - side("clean", "nc")
+    odds = F.signum(raw) * F.greatest(F.lit(0.0), F.abs(raw) - errors * error)
+    return counted.join(F.broadcast(total)).select("word", "spots", odds.alias("odds"))  # one row
 
 
-def fit(sample: DataFrame, min_z: float = MIN_Z, gap: float = GAP, prior_share: float = PRIOR_SHARE) -> Model:
+def fit(sample: DataFrame, gap: float = GAP, prior_share: float = PRIOR_SHARE, errors: float = ERRORS) -> Model:
     """Learn from sample, rows (text, _y) of bounded number and distinct texts."""
     model = Model(gap=gap)
-    words = significant(counts(sample), min_z, prior_share).select("word", "clean", "odds").orderBy("word").toPandas()
-    model.words = dict(zip(words["word"], words["odds"].astype(float), strict=True))
-    sent = sample.sparkSession.sparkContext.broadcast(model)  # at most as many words as max_fit documents can make significant
+    sc = sample.sparkSession.sparkContext
+    words = shrunken(counts(sample), prior_share, errors).where("odds <> 0").toPandas().sort_values("word")  # words of max_fit documents at most
+    model.words = dict(zip(words["word"], words["odds"].astype(float) - gap, strict=True))
 
-    def run(batches):
-        for b in batches:
-            rows = [sent.value.passages(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in rows], pa.int64()), pa.array([[s for *_, s in f] for _, f in rows], pa.list_(pa.float64()))], ["y", "n", "scores"])
+    def told(model: Model, of, schema: str):
+        sent = sc.broadcast(model)
+
+        def run(batches):
+            for b in batches:
+                rows = [of(sent.value, t) for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["y", "n", schema])
+
+        # three numbers for each of max_fit documents at most
+        return sample.select("text", "_y").mapInArrow(run, f"y int, n bigint, {schema} double").toPandas().sort_values(["y", "n", schema])
 
-    seen = sample.select("text", "_y").mapInArrow(run, "y int, n bigint, scores array<double>").orderBy("y", "n", "scores").toPandas()
+    seen = told(model, lambda m, t: m.best(t), "best")
     if not len(seen):
         return model
     y, n = seen["y"].to_numpy(float), seen["n"].to_numpy(float)
@@ -164,16 +189,14 @@ def fit(sample: DataFrame, min_z: float = MIN_Z, gap: float = GAP, prior_share:
         share = (y.sum() + 0.5) / (len(y) + 1)
         model.words, model.offset = {}, float(np.log(share / (1 - share)))
         return model
-    clean = y == 0
     if model.words:
-        tokens_clean = max(float(n[clean].sum()), 1.0)
-        p = (words["clean"].to_numpy(float) + 0.5) / tokens_clean
-        model.rate = _root(p, words["odds"].to_numpy(float), gap)
-        best = np.array([max(s, default=0.0) if len(s) else 0.0 for s in seen["scores"]])
-        held = clean & (n > 0)
+        clean = y == 0
+        p = words["spots"].to_numpy(float) / max(float(n[clean].sum()), 1.0)
+        model.rate = _root(p, words["odds"].to_numpy(float) - gap, gap)
+        held, best = clean & (n > 0), seen["best"].to_numpy(float)
         model.size = float(held.sum() / max((n[held] * np.exp(-model.rate * best[held])).sum(), 1e-12)) if held.any() else 1.0
-    x = np.log1p([model.evidence(k, [(0, 0, v) for v in s])[0] for k, s in zip(n, seen["scores"], strict=True)])
-    model.offset, model.slope = _logistic(x, y)
+    seen = told(model, lambda m, t: (0, m.evidence(*m.passages(t))[0]), "evidence")
+    model.offset, model.slope = _logistic(np.log1p(seen["evidence"].to_numpy(float)), seen["y"].to_numpy(float))
     return model
 
 
