@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects a document whose measure lies above a cutoff. The cutoffs come from labelled documents (a holdout
-that no other part learns from): for each stratum and rule a fixed sequence of cutoffs is tested from the loosest on;
-the exact (Clopper-Pearson) upper bound on the share of good documents that a cutoff rejects must stay within the
-rule's part of max_false_rejection, at a confidence corrected (Bonferroni) for strata and rules; the first cutoff that
-cannot be certified ends its sequence. So, at confidence 1 - delta for all strata at once, no stratum loses more than
-max_false_rejection of its good documents to the rules. Among the certified cutoffs the one that rejects the most bad
-documents net of good ones is taken; without a benefit the rule is off. Strata are bands of length, as counted here.
+Each rule rejects a document whose measure lies above a cutoff. All rules tighten together, along one fixed path of
+steps, from the loosest cutoffs to the strictest; a document's level is the first step at which any rule rejects it. For
+each stratum the steps are tested in turn on labelled documents (a holdout that no other part learns from): the exact
+(Clopper-Pearson) upper bound on the share of good documents that the rules together reject at a step must stay within
+max_false_rejection, at a confidence corrected (Bonferroni) for the strata; the first step that cannot be certified ends
+the stratum's sequence. So, at confidence 1 - delta for all strata at once, no stratum loses more than
+max_false_rejection of its good documents to the rules. Among the certified steps the one that rejects the most bad
+documents net of good ones is taken; without a benefit the rules are off.
+
+Strata are bands of length, as counted here. A band with too few good documents to certify even a step that rejects none
+of them is merged with its neighbour that has fewer, until each has enough or one is left; only the numbers of good
+documents decide that, never what a rule rejects, so the tests stay valid, and the guarantee holds for the merged band.
 
 Defined results: null and empty texts have no words and fail the base rules; labels that are null or whose id is
 unknown are not used; rows that repeat are judged one by one; an empty label table switches the certified rules off;
@@ -31,15 +36,16 @@ DELTA = 0.05
 #: Words from which the next stratum begins.
 STRATA = (150, 500, 2000)
 WHITE = b" \t\n\v\f\r"
-#: Each rule's cutoffs, loosest first.
+#: Steps of the path, and each rule's cutoff at each of them, loosest first.
+STEPS = 40
 GRIDS = {
-    "symbol": tuple(float(x) for x in np.round(np.geomspace(4.0, 0.02, 40), 6)),
-    "dup_line": tuple(float(x) for x in np.round(np.linspace(0.95, 0.05, 37), 6)),
-    "repeat": tuple(float(x) for x in np.round(np.linspace(0.50, 0.02, 40), 6)),
-    "upper": tuple(float(x) for x in np.round(np.linspace(0.95, 0.05, 37), 6)),
-    "punct": tuple(float(x) for x in np.round(np.geomspace(2.0, 0.02, 40), 6)),
-    "digit": tuple(float(x) for x in np.round(np.geomspace(0.9, 0.01, 40), 6)),
-    "long_word": tuple(float(x) for x in np.round(np.geomspace(40.0, 6.0, 40), 6)),
+    "symbol": tuple(float(x) for x in np.round(np.geomspace(4.0, 0.02, STEPS), 6)),
+    "dup_line": tuple(float(x) for x in np.round(np.linspace(0.95, 0.05, STEPS), 6)),
+    "repeat": tuple(float(x) for x in np.round(np.linspace(0.50, 0.02, STEPS), 6)),
+    "upper": tuple(float(x) for x in np.round(np.linspace(0.95, 0.05, STEPS), 6)),
+    "punct": tuple(float(x) for x in np.round(np.geomspace(2.0, 0.02, STEPS), 6)),
+    "digit": tuple(float(x) for x in np.round(np.geomspace(0.9, 0.01, STEPS), 6)),
+    "long_word": tuple(float(x) for x in np.round(np.geomspace(40.0, 6.0, STEPS), 6)),
 }
 RULES = tuple(GRIDS)
 _UP = bytes(range(65, 91))
@@ -135,58 +141,70 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def select_cutoffs(table_: dict, strata: int, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> dict:
-    """(stratum, rule) -> cutoff. table_: stratum -> (good, {rule: [(good rejected, bad rejected) per cutoff]})."""
+def merged_strata(good: list[int], max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> list[list[int]]:
+    """Neighbouring strata in groups, each with good documents enough for its own test, as far as that goes."""
+    groups = [[s] for s in range(len(good))]
+    size = lambda g: sum(good[s] for s in g)
+    while len(groups) > 1:
+        need = math.log(delta / len(groups)) / math.log1p(-max_false_rejection)
+        k = min(range(len(groups)), key=lambda i: (size(groups[i]), i))
+        if size(groups[k]) >= need:
+            break
+        other = min((j for j in (k - 1, k + 1) if 0 <= j < len(groups)), key=lambda j: (size(groups[j]), j))
+        a, z = sorted((k, other))
+        groups[a : z + 1] = [groups[a] + groups[z]]
+    return groups
+
+
+def select_steps(levels: dict, strata: int, max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA) -> dict[int, int]:
+    """stratum -> step. levels: (stratum, good) -> how many documents each step is the first to reject."""
+    at = lambda s, good: np.array(levels.get((s, good), [0] * (STEPS + 1)), np.int64)
+    groups = merged_strata([int(at(s, True).sum()) for s in range(strata)], max_false_rejection, delta)
     out = {}
-    alpha, level = max_false_rejection / len(RULES), delta / (strata * len(RULES))
-    for s, (good, by_rule) in table_.items():
-        for rule, counts in by_rule.items():
-            best = 0
-            for cutoff, (wrong, right) in zip(GRIDS[rule], counts, strict=True):
-                if not good or wrong > alpha * good or upper_bound(wrong, good, level) > alpha:
-                    break
-                if right - wrong > best:
-                    best, out[s, rule] = right - wrong, cutoff
+    for g in groups:
+        wrong, right = (np.cumsum(sum(at(s, good) for s in g)) for good in (True, False))
+        good, best = int(wrong[-1]), 0
+        for step in range(STEPS):
+            if not good or wrong[step] > max_false_rejection * good or upper_bound(int(wrong[step]), good, delta / len(groups)) > max_false_rejection:
+                break
+            if right[step] - wrong[step] > best:
+                best = int(right[step] - wrong[step])
+                out |= dict.fromkeys(g, step)
     return out
 
 
-def holdout_counts(measured: DataFrame, labels: DataFrame) -> dict:
-    """For each stratum, how many good documents there are, and how many good and bad ones each cutoff of each rule rejects. Of a size that the grids fix."""
+def level() -> F.Column:
+    """The first step at which a rule rejects the document; STEPS where none does."""
+    return F.least(*(sum((F.when(F.col(r) > c, 0).otherwise(1) for c in GRIDS[r]), F.lit(0)) for r in RULES))
+
+
+def holdout_levels(measured: DataFrame, labels: DataFrame) -> dict:
+    """(stratum, good) -> the number of labelled documents of each level. Of a size that strata and steps fix."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("quality").alias("_quality"))
-    held = measured.where(~F.col("base_failed")).withColumn("_stratum", stratum()).join(marks, F.col("doc_id") == F.col("_label_id"))
-    # the loosest cutoff that rejects: one small number for each rule, counted, then summed up along the grid
-    level = lambda r: sum((F.when(F.col(r) > c, 0).otherwise(1) for c in GRIDS[r]), F.lit(0))
-    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), level(r).alias("at")) for k, r in enumerate(RULES)))).alias("x")
-    rows = held.select("_stratum", (F.col("_quality") > 0).alias("good"), steps).groupBy("_stratum", "good", "x.rule", "x.at").count().collect()
-    out = {}
-    for s in range(len(STRATA) + 1):
-        mine = [r for r in rows if r["_stratum"] == s]
-        good = sum(r["count"] for r in mine if r["good"] and r["rule"] == 0)
-        by_rule = {}
-        for k, rule in enumerate(RULES):
-            size = len(GRIDS[rule])
-            first = {True: [0] * (size + 1), False: [0] * (size + 1)}
-            for r in mine:
-                if r["rule"] == k:
-                    first[r["good"]][r["at"]] += r["count"]
-            by_rule[rule] = list(zip(np.cumsum(first[True])[:size].tolist(), np.cumsum(first[False])[:size].tolist(), strict=True))
-        out[s] = (good, by_rule)
+    held = measured.where(~F.col("base_failed")).join(marks, F.col("doc_id") == F.col("_label_id"))
+    rows = held.groupBy(stratum().alias("stratum"), (F.col("_quality") > 0).alias("good"), level().alias("level")).count().collect()
+    out: dict = {}
+    for r in rows:
+        out.setdefault((r["stratum"], r["good"]), [0] * (STEPS + 1))[r["level"]] += r["count"]
     return out
 
 
-def verdict(cutoffs: dict) -> F.Column:
-    """True where no certified rule of the document's stratum rejects it."""
+def verdict(steps: dict[int, int]) -> F.Column:
+    """True where the rules at the stratum's certified step don't reject the document."""
     bad = F.lit(False)
-    for (s, rule), cutoff in sorted(cutoffs.items()):
-        bad = bad | ((stratum() == s) & (F.col(rule) > cutoff))
+    for s, step in sorted(steps.items()):
+        over = F.lit(False)
+        for r in RULES:
+            over = over | (F.col(r) > GRIDS[r][step])
+        bad = bad | ((stratum() == s) & over)
     return ~bad
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_false_rejection: float = MAX_FALSE_REJECTION, delta: float = DELTA, row_col: str | None = None) -> DataFrame:
     """A row per document: its counts, measures, base_failed and kept; and row_col, if docs number their rows."""
     measured, _ = cut(measures(docs, id_col, text_col, row_col), "measures")  # a few numbers a document; counted, then judged
-    cutoffs = select_cutoffs(holdout_counts(measured, labels), len(STRATA) + 1, max_false_rejection, delta)
-    return measured.withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
+    steps = select_steps(holdout_levels(measured, labels), len(STRATA) + 1, max_false_rejection, delta)
+    return measured.withColumn("kept", ~F.col("base_failed") & verdict(steps))
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
