@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
-Texts of up to chunk_chars are one piece. Longer ones are cut into overlapping chunks that are pre-tokenised in
-parallel; neighbouring chunks are stitched at the first pre-token boundary in their overlap on which both agree and
-that follows a character other than white space, so that each piece, alone, pre-tokenises as it does within the whole
-text. Where an overlap has no such boundary, the chunks stay one piece. Pieces are encoded in parallel, and decoding
-concatenates the bytes of the tokens.
+Every text is cut into overlapping chunks of chunk_chars, which are pre-tokenised one by one; neighbouring chunks are
+stitched at the first pre-token boundary in their overlap on which both agree and that follows a character other than
+white space, so that each piece, alone, pre-tokenises as it does within the whole text. Where an overlap has no such
+boundary, the chunks stay one piece. Pieces are encoded, and decoding concatenates the bytes of the tokens.
+
+Chunks of a text of up to task_chars are worked on by one task; those of longer texts are dealt out over tasks, and so are
+their pieces. The chunks, the stitching and the encoding are the same.
 
 Defined results: a null or empty text has no token and decodes to no bytes; rows that repeat are encoded one by one, a
 null id included; other columns are not carried, so their names cannot clash.
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import numbered, table
 
-CHUNK_CHARS = 65_536
-OVERLAP = 2_048
+CHUNK_CHARS = 4_096
+OVERLAP = 256
+#: The longest text whose chunks stay in one task.
+TASK_CHARS = 262_144
 
 
 @functools.lru_cache(maxsize=4)
@@ -35,13 +39,44 @@ def _encoding(vocabulary: bytes, pattern: str):
     return tiktoken.Encoding(hashlib.md5(vocabulary).hexdigest(), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def chunks(text: str, chunk: int, overlap: int) -> list[str]:
+    """The text's chunks; each but the last goes on for overlap characters into the next."""
+    n = max(1, -(-max(len(text) - overlap, 1) // chunk))
+    return [text[k * chunk : (k + 1) * chunk + overlap if k + 1 < n else None] for k in range(n)]
+
+
+def boundaries(split, text: str, first: bool, last: bool, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
+    """The pre-token ends, behind other characters than white space, in a chunk's first and in its last overlap, as offsets into that overlap."""
+    ends = [m.end() for m in split.finditer(text)] if not last else [m.end() for m in split.finditer(text[: 2 * overlap])] if not first else []
+    ends = [e for e in ends if not text[e - 1].isspace()]
+    return [] if first else [e for e in ends if e < overlap], [] if last else [e - chunk for e in ends if chunk <= e < chunk + overlap]
+
+
+def text_pieces(split, text: str, chunk: int, overlap: int) -> list[str]:
+    """The pieces of a text whose encodings, one after the other, are the text's."""
+    parts = chunks(text, chunk, overlap)
+    if len(parts) == 1:
+        return parts
+    marks = [boundaries(split, t, k == 0, k + 1 == len(parts), chunk, overlap) for k, t in enumerate(parts)]
+    cuts = [0]
+    for k in range(len(parts) - 1):
+        common = set(marks[k][1]).intersection(marks[k + 1][0])
+        if common:
+            cuts.append((k + 1) * chunk + min(common))
+    return [text[a:z] for a, z in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def _ids(enc, parts: list[str]) -> list[np.ndarray]:
+    return [enc.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False) if t else np.empty(0, "<u4") for t in parts]
+
+
 def _encode_rows(sent, pattern: str):
     """rows (uid, id, piece, text) -> rows (uid, id, piece, n_tokens, ids); ids are little-endian unsigned 32-bit."""
 
     def run(batches):
         enc = _encoding(sent.value, pattern)
         for b in batches:
-            ids = [enc.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False) if t else np.empty(0, "<u4") for t in b.column(3).to_pylist()]
+            ids = _ids(enc, b.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                 ["uid", "doc_id", "piece", "n_tokens", "ids"],
@@ -50,21 +85,25 @@ def _encode_rows(sent, pattern: str):
     return run
 
 
-def _digest_rows(sent, pattern: str):
-    """rows (uid, id, piece, text) -> rows (id, n_tokens, ids_sha256, decoded_sha256): both ways in one worker, a text at a time."""
+def _digest_rows(sent, pattern: str, chunk: int, overlap: int):
+    """rows (id, text) -> rows (id, n_tokens, ids_sha256, decoded_sha256): chunks, pieces, ids and bytes, a text at a time."""
+    import regex
+
+    split = regex.compile(pattern)
 
     def run(batches):
         enc = _encoding(sent.value, pattern)
         core = enc._core_bpe
         for b in batches:
-            n, ids_sha, out_sha = [], [], []
-            for t in b.column(3):
-                t = t.as_py()
-                ids = enc.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False) if t else np.empty(0, "<u4")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                out_sha.append(hashlib.sha256(core.decode_bytes(ids.tolist()) if len(ids) else b"").hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = []
+            for t in b.column(1):
+                n, ids_sha, out_sha = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in _ids(enc, text_pieces(split, t.as_py(), chunk, overlap)):
+                    n += len(ids)
+                    ids_sha.update(ids.tobytes())
+                    out_sha.update(core.decode_bytes(ids.tolist()) if len(ids) else b"")
+                rows.append((n, ids_sha.hexdigest(), out_sha.hexdigest()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -80,46 +119,39 @@ def _decode_rows(sent, pattern: str):
 
 
 def _chunk_rows(chunk: int, overlap: int):
+    """rows (uid, id, text) -> rows (uid, id, k, n, text): the chunks, numbered."""
+
     def run(batches):
         for b in batches:
-            for uid, i, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                n = max(1, -(-max(len(t) - overlap, 1) // chunk))
-                for k0 in range(0, n, 256):
-                    ks = range(k0, min(n, k0 + 256))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([uid] * len(ks), pa.int64()), pa.array([i] * len(ks), b.column(1).type), pa.array(ks, pa.int64()), pa.array([n] * len(ks), pa.int64()), pa.array([t[k * chunk : (k + 1) * chunk + overlap if k + 1 < n else None] for k in ks], pa.string())],
-                        ["uid", "doc_id", "k", "n", "text"],
-                    )
+            for uid, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                parts = chunks(t.as_py(), chunk, overlap)
+                for k0 in range(0, len(parts), 1024):
+                    own = parts[k0 : k0 + 1024]
+                    ks = range(k0, k0 + len(own))
+                    yield pa.RecordBatch.from_arrays([pa.array([uid] * len(own), pa.int64()), pa.array([i] * len(own), b.column(1).type), pa.array(ks, pa.int64()), pa.array([len(parts)] * len(own), pa.int64()), pa.array(own, pa.string())], ["uid", "doc_id", "k", "n", "text"])
 
     return run
 
 
 def _boundary_rows(pattern: str, chunk: int, overlap: int):
-    """Adds head and tail: the pre-token ends within the first and the last overlap, as offsets into that overlap."""
+    """Adds head and tail: the chunks' boundaries()."""
     import regex
 
     split = regex.compile(pattern)
 
     def run(batches):
         for b in batches:
-            heads, tails = [], []
-            for k, n, t in zip(*(b.column(j).to_pylist() for j in (2, 3, 4)), strict=True):
-                ends = [m.end() for m in split.finditer(t)]
-                ends = [e for e in ends if not t[e - 1].isspace()]
-                heads.append([e for e in ends if e < overlap] if k else [])
-                tails.append([e - chunk for e in ends if chunk <= e < chunk + overlap] if k + 1 < n else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], [*b.schema.names, "head", "tail"])
+            marks = [boundaries(split, t, k == 0, k + 1 == n, chunk, overlap) for k, n, t in zip(*(b.column(j).to_pylist() for j in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[j] for m in marks], pa.list_(pa.int32())) for j in (0, 1))], [*b.schema.names, "head", "tail"])
 
     return run
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = "", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """Rows (uid, doc_id, piece, text) of texts of one piece, and of longer ones, cut so that the pieces' encodings joined are the texts' encodings."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = base.where(F.length("text") <= chunk_chars + overlap).select("uid", "doc_id", F.lit(0).cast("bigint").alias("piece"), "text")
-    chunks = base.where(F.length("text") > chunk_chars + overlap).mapInArrow(_chunk_rows(chunk_chars, overlap), f"uid bigint, doc_id {kind}, k bigint, n bigint, text string")
-    marked = chunks.repartition(F.col("uid"), F.col("k")).mapInArrow(_boundary_rows(pattern, chunk_chars, overlap), f"uid bigint, doc_id {kind}, k bigint, n bigint, text string, head array<int>, tail array<int>")
+def dealt_pieces(texts: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """Rows (uid, doc_id, piece, text) of the pieces of texts (uid, doc_id, text), by chunks that are dealt out over tasks."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    parts = texts.mapInArrow(_chunk_rows(chunk_chars, overlap), f"uid bigint, doc_id {kind}, k bigint, n bigint, text string")
+    marked = parts.repartition(F.col("uid"), F.col("k")).mapInArrow(_boundary_rows(pattern, chunk_chars, overlap), f"uid bigint, doc_id {kind}, k bigint, n bigint, text string, head array<int>, tail array<int>")
     by = Window.partitionBy("uid").orderBy("k")
     common = F.array_min(F.array_intersect("tail", F.lead("head").over(by)))
     stitched = marked.select("uid", "doc_id", "k", "n", "text", common.alias("at")).select(
@@ -127,22 +159,19 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patt
     )
     begin = F.when(F.col("k") == 0, 0).otherwise(F.coalesce("from", F.lit(0)))
     end = F.when(F.col("k") == F.col("n") - 1, F.length("text")).otherwise(F.lit(chunk_chars) + F.coalesce("at", F.lit(0)))
-    long = (
+    return (
         stitched.select("uid", "doc_id", "piece", "k", F.col("text").substr(begin + 1, end - begin).alias("text"))
         .groupBy("uid", "doc_id", "piece")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
         .select("uid", "doc_id", F.col("piece").cast("bigint").alias("piece"), "text")
     )
-    return short, long
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """The encoded pieces (uid, doc_id, piece, n_tokens, ids) of texts of one piece, and of longer ones."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: its size doesn't depend on the corpus
-    schema = f"uid bigint, doc_id {kind}, piece bigint, n_tokens bigint, ids binary"
-    short, long = pieces(docs, id_col, text_col, pattern, chunk_chars, overlap)
-    return short.mapInArrow(_encode_rows(sent, pattern), schema), long.repartition(F.col("uid"), F.col("piece")).mapInArrow(_encode_rows(sent, pattern), schema)
+def encode(texts: DataFrame, vocabulary: bytes, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """The encoded pieces (uid, doc_id, piece, n_tokens, ids) of texts (uid, doc_id, text) without nulls."""
+    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file: its size doesn't depend on the corpus
+    schema = f"uid bigint, doc_id {texts.schema['doc_id'].dataType.simpleString()}, piece bigint, n_tokens bigint, ids binary"
+    return dealt_pieces(texts, pattern, chunk_chars, overlap).repartition(F.col("uid"), F.col("piece")).mapInArrow(_encode_rows(sent, pattern), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
@@ -151,16 +180,17 @@ def decode(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     return encoded.mapInArrow(_decode_rows(sent, pattern), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary")
 
 
-def digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, task_chars: int = TASK_CHARS) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    short, _ = pieces(docs, id_col, text_col, pattern, chunk_chars, overlap)
-    short = short.mapInArrow(_digest_rows(sent, pattern), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    _, long = encode(docs, vocabulary, pattern, id_col, text_col, chunk_chars, overlap)
+    placed, row = numbered(docs)
+    base = placed.select(F.col(row).alias("uid"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    whole = base.where(F.length("text") <= task_chars).select("doc_id", "text").mapInArrow(_digest_rows(sent, pattern, chunk_chars, overlap), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    dealt = decode(encode(base.where(F.length("text") > task_chars), vocabulary, pattern, chunk_chars, overlap), vocabulary, pattern)
     joined = lambda c: F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", c))), lambda x: F.hex(x[c])), ""))
-    long = decode(long, vocabulary, pattern).groupBy("uid", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), joined("ids").alias("ids"), joined("decoded").alias("decoded"))
-    return short.unionByName(long.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
+    dealt = dealt.groupBy("uid", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), joined("ids").alias("ids"), joined("decoded").alias("decoded"))
+    return whole.unionByName(dealt.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
