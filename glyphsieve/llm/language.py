@@ -6,8 +6,8 @@ landmarks give a feature map, kernel ridge regression learns one language versus
 in presence, landmarks and weights fold into one matrix of places by languages, and batches of texts are scored by one
 matrix product each.
 
-Learns from about per_language documents of each language (chosen by hashed id), 2,000 in all at most unless there are
-more than 100 languages. Defined results: a text that is null or has no letter is `und` with score 0, as is every text
+Learns from about per_language documents of each language (chosen by the hash of id and text, equal ones once), some 2,000
+in all, of the max_languages commonest languages; with more than 100 languages, 20 of each. Defined results: a text that is null or has no letter is `und` with score 0, as is every text
 where nothing can be learned; of equal scores the first language by name; rows that repeat are judged one by one; rows
 with a null language lend nothing; only doc_id, text and, to learn, lang are read.
 """
@@ -25,6 +25,7 @@ LONGEST = 4
 BITS = 16
 LANDMARKS = 256
 PER_LANGUAGE = 400
+MAX_LANGUAGES = 256
 RIDGE = 1e-2
 SHARPNESS = 4.0
 
@@ -76,15 +77,15 @@ def fit(x: np.ndarray, y: np.ndarray, landmarks: int = LANDMARKS, ridge: float =
     return names, (chosen.T @ (root @ weights).astype(np.float32)).astype(np.float32)
 
 
-def learn(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list, np.ndarray]:
+def learn(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> tuple[list, np.ndarray]:
     own = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # one row for each language
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not sizes:
         return [], np.zeros((1 << BITS, 0), np.float32)
     want = max(20, min(per_language, 2000 // len(sizes)))
-    place = F.pmod(F.xxhash64(F.col("_id"), F.lit(9)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64(F.col("_id"), F.col("text"), F.lit(9)), F.lit(1 << 30))
     shares = docs.sparkSession.createDataFrame([(k, min(1 << 30, int((1 << 30) * want / n) + 1)) for k, n in sizes.items()], "lang string, upto bigint")
-    sample = own.join(F.broadcast(shares), "lang").where(place < F.col("upto")).select("text", "lang").mapInArrow(_presence_rows, "lang string, x binary").orderBy("lang", "x").toPandas()
+    sample = own.join(F.broadcast(shares), "lang").where(place < F.col("upto")).select("text", "lang").mapInArrow(_presence_rows, "lang string, x binary").distinct().toPandas().sort_values(["lang", "x"])
     if not len(sample):
         return [], np.zeros((1 << BITS, 0), np.float32)
     x = np.frombuffer(b"".join(sample["x"]), np.uint8).reshape(len(sample), (1 << BITS) // 8)
@@ -94,7 +95,7 @@ def learn(docs: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text",
 def predict(docs: DataFrame, keep, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score."""
     names, matrix = learn(docs, keep, id_col, text_col, lang_col)
-    sent = docs.sparkSession.sparkContext.broadcast((names, matrix))  # 2**BITS floats for each language
+    sent = docs.sparkSession.sparkContext.broadcast((names, matrix))  # 2**BITS floats for each of max_languages at most
 
     def run(batches):
         names, matrix = sent.value
