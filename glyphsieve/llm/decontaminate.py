@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, numbered, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,12 +47,12 @@ def benchmark_grams(benchmark: DataFrame, width: int, id_col: str = "item_id", t
     return own.groupBy("size", "gram", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", max_broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Rows (uid, doc_id, n_words, pos, size, items): each verified window of a document, from word pos, and a row with null pos for each document."""
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = 8, id_col: str = "doc_id", text_col: str = "text", max_broadcast_bytes: int = 64 << 20, row_col: str | None = None) -> DataFrame:
+    """Rows (uid, doc_id, n_words, pos, size, items): each verified window of a document, from word pos, and a row with null pos for each document. row_col numbers docs' rows, if they are to be told apart outside."""
     grams = benchmark_grams(benchmark, width)
     at = grams.groupBy("size").agg(F.sum(F.length("gram") + F.size("items") * 24 + 64).alias("bytes")).collect()  # at most width rows
     sizes, slices = sorted(r["size"] for r in at), max(1, -(-sum(r["bytes"] for r in at) // max_broadcast_bytes))
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    base = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("uid"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
     mark = F.lit(MARK).cast("bigint")
     parts = []
     for n in sizes or [width]:
@@ -78,19 +78,22 @@ def report(found: DataFrame, limit_items: int = 2) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 8, limit_items: int = 2, id_col: str = "doc_id", text_col: str = "text", n_col: str = "n_chars") -> DataFrame:
-    """docs (a table as read) without contaminated documents; others lose the words that lie in shared windows, each with the gap before it. Null texts stay."""
-    spans = report(hits(docs, benchmark, width, id_col, text_col), limit_items).where(F.size("spans") > 0).select(F.col("uid").alias("_uid"), F.col("contaminated").alias("_contaminated"), F.col("spans").alias("_spans"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    joined = numbered.join(spans, F.col("_row") == F.col("_uid"), "left").where(~F.coalesce("_contaminated", F.lit(False)))
+    """docs without contaminated documents; others lose the words that lie in shared windows, each with the gap before it. Null texts stay."""
+    placed, row = numbered(docs)
+    found = hits(placed, benchmark, width, id_col, text_col, row_col=row)
+    held = fresh([*docs.columns, row], "_held")
+    spans = report(found, limit_items).where(F.size("spans") > 0).select(F.col("uid").alias(row), F.struct("contaminated", "spans").alias(held))
+    joined = placed.join(spans, row, "left").where(~F.coalesce(F.col(held)["contaminated"], F.lit(False)))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]".replace("\\x60", "\\x40\\x5B-\\x60")  # before A-Z are lower-cased
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({word.replace('[^', '[')}*{word}+)"), F.lit(1))
-    tail = F.regexp_extract(F.col(text_col), f"({word.replace('[^', '[')}*)$", 1)
-    stay = F.filter(pieces, lambda _, i: ~F.exists("_spans", lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["size"])))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(F.array_join(stay, ""), tail))
-    joined = joined.withColumn(text_col, text)
+    old = F.col(f"`{text_col}`")
+    pieces = F.regexp_extract_all(old, F.lit(f"({word.replace('[^', '[')}*{word}+)"), F.lit(1))
+    tail = F.regexp_extract(old, f"({word.replace('[^', '[')}*)$", 1)
+    stay = F.filter(pieces, lambda _, i: ~F.exists(F.col(held)["spans"], lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["size"])))
+    text = F.when(F.col(held).isNull(), old).otherwise(F.concat(F.array_join(stay, ""), tail))
+    new = {text_col: text}
     if n_col in docs.columns:
-        joined = joined.withColumn(n_col, F.when(F.col("_spans").isNull(), F.col(n_col)).otherwise(F.length(text_col).cast(docs.schema[n_col].dataType)))
-    return joined.select(*docs.columns)
+        new[n_col] = F.when(F.col(held).isNull(), F.col(f"`{n_col}`")).otherwise(F.length(text).cast(docs.schema[n_col].dataType))
+    return joined.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

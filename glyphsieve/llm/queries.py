@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from . import bpe, classifier, decontaminate, html, language, minhash, passages, quality_rules, toxicity, warc
+from .common import bounded
 
-QUERIES = {
-    "op1_passages": passages.op1_passages,
-    "op2_quality": classifier.op2_quality,
-    "op3_toxicity": toxicity.op3_toxicity,
-    "op4_quality_rules": quality_rules.op4_quality_rules,
-    "op5_html": html.op5_html,
-    "op6_near_duplicates": minhash.op6_near_duplicates,
-    "op7_byte_bpe": bpe.op7_byte_bpe,
-    "op8_decontaminate": decontaminate.op8_decontaminate,
-    "op9_language": language.op9_language,
-    "op10_warc": warc.op10_warc,
-}
+
+def _bounded(query):
+    """The query with Arrow batches that workers can hold, set for the session when it is asked for."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        bounded(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = (
+    passages.op1_passages, classifier.op2_quality, toxicity.op3_toxicity, quality_rules.op4_quality_rules, html.op5_html,
+    minhash.op6_near_duplicates, bpe.op7_byte_bpe, decontaminate.op8_decontaminate, language.op9_language, warc.op10_warc,
+)
+QUERIES = {q.__name__: _bounded(q) for q in _ALL}
 
 SQL = {
     "op8_decontaminate": decontaminate.OP8_SQL,
