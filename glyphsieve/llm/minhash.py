@@ -36,6 +36,8 @@ BANDS = 25
 ROWS = 5
 #: Sketches of 128 bits: at similarity 0.8 a mean of 12.8 bits differ, with a deviation of 3.4; more than this many mean less than 0.8.
 MAX_BITS = 29
+#: Row numbers of texts that meet others are broadcast up to this many (8 bytes each); beyond, they are joined by shuffling.
+MAX_BROADCAST_ROWS = 2_000_000
 #: Rounds of leaders before what is left of a bucket is held against what can have a link there.
 ROUNDS = 2
 
@@ -321,8 +323,9 @@ def linked(single: DataFrame, base: DataFrame, similarity: float) -> DataFrame |
     # the text that meets the most others leads: of a text and its edited copies, the text
     weights = shared.groupBy("uid").agg(F.sum("size").alias("weight"))
     members, members_at = cut(shared.drop("size").join(weights, "uid").select("bucket", "uid", "n", "weight"), "weighed")
-    texts, texts_at = cut(base.select("uid", "text").join(members.select("uid").distinct(), "uid"), "texts")
-    remove(spark, shared_at)
+    met, met_at = cut(members.select("uid").distinct(), "met")
+    texts, texts_at = cut(base.select("uid", "text").join(F.broadcast(met) if met.count() <= MAX_BROADCAST_ROWS else met, "uid", "left_semi"), "texts")
+    remove(spark, shared_at, met_at)
     rest, tops = members.drop("n"), None
     for _ in range(ROUNDS):
         rest, tops = leader_round(rest, texts, tops, similarity)
