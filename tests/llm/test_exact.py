@@ -108,17 +108,62 @@ def test_quality_counts(awkward_table, labels):
         assert not (r["base_failed"] and r["kept"])
 
 
+def brute_levels(docs, labels):
+    """(stratum, good) -> documents of each level, from the measures of each text alone."""
+    marks = {}
+    for r in labels:
+        if r["doc_id"] is not None and r["quality"] is not None:
+            marks[r["doc_id"]] = max(r["quality"], marks.get(r["doc_id"], 0))
+    out = Counter()
+    for r in docs:
+        m = quality_rules.measure(r["text"])
+        if r["doc_id"] not in marks or m[0] < 50 or 100 * m[4] > 50 * m[0]:
+            continue
+        values = dict(zip(quality_rules.RULES, m[5:], strict=True))
+        first = next((k for k in range(quality_rules.STEPS) if any(values[x] > quality_rules.GRIDS[x][k] for x in values)), quality_rules.STEPS)
+        out[sum(m[0] >= x for x in quality_rules.STRATA), marks[r["doc_id"]] > 0, first] += 1
+    return out
+
+
+def test_levels_and_verdicts(spark, awkward_table, labels):
+    sf = "/root/testdata/sf0.01"
+    tables = [(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")), (awkward_table, labels)]
+    for docs, marks in tables:
+        got = quality_rules.holdout_levels(quality_rules.measures(docs), marks)
+        want = brute_levels(docs.collect(), marks.collect())
+        assert {(s, g, k): n for (s, g), row in got.items() for k, n in enumerate(row) if n} == dict(want)
+        steps = quality_rules.select_steps(got, 4)
+        judged = quality_rules.judge(docs, marks).collect()
+        for r in judged:
+            s = sum(r["n_words"] >= x for x in quality_rules.STRATA)
+            over = s in steps and any(r[x] > quality_rules.GRIDS[x][steps[s]] for x in quality_rules.RULES)
+            assert r["kept"] == (not r["base_failed"] and not over)
+    assert set(quality_rules.select_steps(quality_rules.holdout_levels(quality_rules.measures(tables[0][0]), tables[0][1]), 4)) == {0, 1, 2, 3}
+
+
 def test_risk_control():
-    assert quality_rules.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
-    assert quality_rules.upper_bound(5, 5, 0.05) == 1.0
-    size = {r: len(g) for r, g in quality_rules.GRIDS.items()}
-    few = {0: (50, {r: [(0, 9)] * n for r, n in size.items()})}
-    assert not quality_rules.select_cutoffs(few, 1)  # too few good ones to certify anything
-    many = {0: (100_000, {r: [(0, 9), (3, 40), (50_000, 90)] + [(60_000, 100)] * (n - 3) for r, n in size.items()})}
-    got = quality_rules.select_cutoffs(many, 1)
-    assert got == {(0, r): g[1] for r, g in quality_rules.GRIDS.items()}
-    harmless = {0: (100_000, {r: [(1, 1)] * n for r, n in size.items()})}
-    assert not quality_rules.select_cutoffs(harmless, 1)  # no benefit
+    bound, steps = quality_rules.upper_bound, quality_rules.STEPS
+    assert bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9) and bound(5, 5, 0.05) == 1.0
+    row = lambda **at: [at.get(f"s{k}", 0) for k in range(steps)] + [at["none"]]
+    assert not quality_rules.select_steps({(0, True): row(none=50), (0, False): row(s0=9, none=0)}, 1)  # too few good ones to certify anything
+    many = {(0, True): row(s1=3, s2=50_000, none=50_000), (0, False): row(s0=9, s1=40, s2=90, none=0)}
+    assert quality_rules.select_steps(many, 1) == {0: 1}
+    assert not quality_rules.select_steps({(0, True): row(s0=1, none=99_999), (0, False): row(s0=1, none=0)}, 1)  # no benefit
+    assert quality_rules.merged_strata([10, 1000, 20, 700]) == [[0, 1], [2, 3]] and quality_rules.merged_strata([5, 5]) == [[0, 1]] and quality_rules.merged_strata([900, 900]) == [[0], [1]]
+    small = {(0, True): row(none=200), (0, False): row(s3=8, none=0), (1, True): row(none=200), (1, False): row(s4=5, none=0)}
+    assert quality_rules.select_steps(small, 2) == {0: 4, 1: 4}
+
+
+def test_risk_holds():
+    """Over many holdouts, the chosen steps reject more good documents than allowed in a share of at most delta."""
+    rng, risk, delta, broken = np.random.default_rng(4), 0.02, 0.2, 0
+    share = np.r_[np.linspace(0, 0.004, quality_rules.STEPS), 0]
+    share[-1] = 1 - share.sum()
+    for _ in range(400):
+        levels = {(s, True): rng.multinomial(600, share).tolist() for s in range(2)} | {(s, False): [5] * (quality_rules.STEPS + 1) for s in range(2)}
+        chosen = quality_rules.select_steps(levels, 2, risk, delta)
+        broken += any(share[: k + 1].sum() > risk for k in chosen.values())
+    assert broken / 400 <= delta
 
 
 def test_quality_of_nothing(none, labels, awkward_table):
@@ -136,11 +181,23 @@ def test_bpe(awkward_table):
         return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
 
     expected = Counter((r["doc_id"], *want(r["text"])) for r in awkward_table.collect())
-    for chunk, overlap in ((65_536, 2_048), (700, 40)):
-        got = bpe.digests(awkward_table, vocabulary, pattern, chunk_chars=chunk, overlap=overlap).collect()
+    for chunk, overlap, task in ((4_096, 256, 262_144), (700, 40, 262_144), (64, 16, 262_144), (4_096, 256, 5_000), (200, 30, 0)):
+        got = bpe.digests(awkward_table, vocabulary, pattern, chunk_chars=chunk, overlap=overlap, task_chars=task).collect()
         assert Counter(tuple(r) for r in got) == expected
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab  \n\t'1.é\u3000\U0001f600Z"), max_size=200), st.integers(2, 20))
+def test_pieces_encode_as_their_text(text, chunk):
+    import regex
+
+    vocabulary, pattern = bpe.public_vocabulary()
+    enc = bpe._encoding(vocabulary, pattern)
+    parts = bpe.text_pieces(regex.compile(pattern), text, chunk, max(1, chunk // 2))
+    assert "".join(parts) == text
+    assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
 def test_bpe_of_nothing(none):
     assert bpe.digests(none, *bpe.public_vocabulary()).count() == 0
 
@@ -178,6 +235,13 @@ def test_scrub(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == 4
 
 
+def test_scrub_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "Aa b, c d! E f g h. i j", "r", "u", "c", "s", "h", "k")], "doc_id bigint, text string, _row string, _uid string, _contaminated string, _spans string, _held string, _kept string")
+    bench = spark.createDataFrame([("k", "AA b c d e f g h")], "item_id string, text string")
+    out = decontaminate.clean(docs, bench)
+    assert out.columns == docs.columns and tuple(out.first()) == (1, ". i j", "r", "u", "c", "s", "h", "k")
+
+
 def test_decontaminate_nothing(none, spark):
     empty = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.report(decontaminate.hits(none, empty)).count() == 0
