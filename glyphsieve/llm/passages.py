@@ -4,7 +4,9 @@ Which strings can recur is found without moving texts. Each window of width byte
 its k-grams; equal windows have equal keys, and a run of neighbouring windows with one key is a segment. Only segments
 whose key occurs twice send their bytes on, to the bin of the key. There their suffixes are sorted with hash-compared
 mergesort: first one suffix a segment, which settles segments that recur whole, then one suffix a window of the
-segments that differ. Of equal windows the earliest stays, the others' bytes are removed.
+segments that differ. Of equal windows the earliest stays, the others' bytes are removed. The segments of a key that very
+many hold are cut up and dealt out by a second key, the smallest of other hashes of the window's k-grams: equal windows
+have equal second keys, while windows that reach out of what the texts share mostly have one of their own.
 
 Whole texts that recur are found by digest before that: later copies of width bytes or more lose all bytes, and a group
 of copies of any size enters the search once.
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import cut, mix, numbered, remove, table
 from .suffixes import Buffer, equal_runs
@@ -27,7 +30,10 @@ from .suffixes import Buffer, equal_runs
 WIDTH = 100
 GRAM = 32
 LOW_BITS = 17
+#: From so many segments on, a key's segments are dealt out by a second key of their windows.
+HOT = 512
 SLICE = 1 << 16
+SECOND = 0x5A17
 #: Copies' row numbers are broadcast up to this many (8 bytes each); beyond, texts and copies are joined by shuffling.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -43,13 +49,15 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def _window_keys(data: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of width bytes: the smallest k-gram hash in it, and where the first such k-gram stands."""
+def _window_keys(data: np.ndarray, width: int, gram: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of width bytes: the smallest k-gram hash in it, and where the first such k-gram stands. salt: of another order of hashes."""
     span, low = width - gram + 1, np.uint64((1 << LOW_BITS) - 1)
     keys, at = [], []
     for s in range(0, len(data) - width + 1, SLICE):
         part = data[s : s + SLICE + width - 1]
         h = _gram_hashes(part, gram)
+        if salt:
+            h = mix(h ^ np.uint64(salt))
         n = len(h)
         packed = np.full(-(-n // span) * span, np.iinfo(np.uint64).max, np.uint64)
         packed[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
@@ -136,23 +144,39 @@ def _key_rows(bins: int, width: int, gram: int):
     return run
 
 
-def _recurring_rows(batches):
-    """rows (bin, n, blob) of whole bins -> rows (uid, key, first, windows) of the segments whose key occurs twice."""
-    parts = [_unblob(x.as_py(), n.as_py(), "u8", "i8", "u4", "i4") for b in batches for n, x in zip(b.column(1), b.column(2), strict=True)]
-    if not parts:
-        return
-    key, uid, first, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = np.r_[False, k[1:] == k[:-1]]
-    keep = order[same | np.r_[same[1:], False] | (size[order] < 0)] if len(k) else order
-    for at in range(0, len(keep), 50_000):
-        i = keep[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array(key[i].astype(np.int64)), pa.array(first[i].astype(np.int64)), pa.array(size[i].astype(np.int64))], ["uid", "key", "first", "windows"])
+def _recurring_rows(most: int):
+    """rows (bin, n, blob) of whole bins -> rows (uid, key, first, windows, hot) of the segments whose key occurs twice; hot: in `most` segments or more."""
+
+    def run(batches):
+        parts = [_unblob(x.as_py(), n.as_py(), "u8", "i8", "u4", "i4") for b in batches for n, x in zip(b.column(1), b.column(2), strict=True)]
+        if not parts:
+            return
+        key, uid, first, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        same = np.r_[False, k[1:] == k[:-1]]
+        kept = same | np.r_[same[1:], False] | (size[order] < 0) if len(k) else same
+        group = np.cumsum(~same) - 1
+        hot = (np.bincount(group) >= most)[group] if len(k) else same
+        keep, hot = order[kept], hot[kept]
+        for at in range(0, len(keep), 50_000):
+            i = keep[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array(key[i].astype(np.int64)), pa.array(first[i].astype(np.int64)), pa.array(size[i].astype(np.int64)), pa.array(hot[at : at + 50_000])], ["uid", "key", "first", "windows", "hot"])
+
+    return run
+
+
+def _cut_up(key: int, first: int, windows: int, piece: bytes, width: int, gram: int):
+    """A hot segment by the second keys of its windows: (key of both, first, windows, bytes)."""
+    second = _window_keys(np.frombuffer(piece, np.uint8), width, gram, SECOND)[0]
+    starts = np.flatnonzero(np.r_[True, second[1:] != second[:-1]])
+    both = mix(np.uint64(key % 2**64) ^ mix(second[starts])).view(np.int64).tolist()
+    for k, a, z in zip(both, starts.tolist(), [*starts[1:].tolist(), len(second)], strict=True):
+        yield k, first + a, z - a if windows > 0 else a - z, piece[a : z + width - 1]
 
 
-def _context_rows(bins: int, width: int):
+def _context_rows(bins: int, width: int, gram: int):
     """rows (uid, rank, text, found) -> rows (bin, n, sizes and bytes): the segments with the bytes of their windows."""
 
     def out(held):
@@ -170,8 +194,10 @@ def _context_rows(bins: int, width: int):
                 uid, rank, raw = uid.as_py(), rank.as_py(), (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for f in found.as_py():
                     piece = raw[f["first"] : f["first"] + abs(f["windows"]) + width - 1]
-                    held.append((rank, uid, f["key"], f["first"], f["windows"], piece))
-                    weight += len(piece) + 64
+                    parts = _cut_up(f["key"], f["first"], f["windows"], piece, width, gram) if f["hot"] else [(f["key"], f["first"], f["windows"], piece)]
+                    for part in parts:
+                        held.append((rank, uid, *part))
+                        weight += len(part[3]) + 64
                 if weight > 16 << 20:
                     yield out(held)
                     held, weight = [], 0
@@ -291,7 +317,7 @@ def _cleaned_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["uid", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def removals(base: DataFrame, width: int = WIDTH, gram: int = GRAM, order_col: str = "doc_id") -> tuple[DataFrame, DataFrame, bool]:
+def removals(base: DataFrame, width: int = WIDTH, gram: int = GRAM, order_col: str = "doc_id", hot: int = HOT) -> tuple[DataFrame, DataFrame, bool]:
     """For rows (uid, order_col, text): the later copies of whole texts (uid), the byte ranges to remove elsewhere (uid, ranges), and whether copies may be broadcast."""
     spark = base.sparkSession
     bins = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -305,20 +331,22 @@ def removals(base: DataFrame, width: int = WIDTH, gram: int = GRAM, order_col: s
     small = copies.count() <= MAX_BROADCAST_ROWS
     single = texts.where(F.octet_length("text") >= width).join(F.broadcast(copies) if small else copies, "uid", "left_anti")
     keys = single.select("uid", "text").mapInArrow(_key_rows(bins, width, gram), "bin bigint, n bigint, blob binary")
-    recurring, recurring_at = cut(keys.repartition(F.col("bin")).mapInArrow(_recurring_rows, "uid bigint, key bigint, first bigint, windows bigint"), "recurring")
+    recurring, recurring_at = cut(keys.repartition(F.col("bin")).mapInArrow(_recurring_rows(hot), "uid bigint, key bigint, first bigint, windows bigint, hot boolean"), "recurring")
     remove(spark)
-    found = recurring.groupBy("uid").agg(F.collect_list(F.struct("key", "first", "windows")).alias("found"))
-    contexts = texts.join(found, "uid").select("uid", "rank", "text", "found").mapInArrow(_context_rows(bins, width), "bin bigint, n bigint, blob binary, bytes binary")
+    found = recurring.groupBy("uid").agg(F.collect_list(F.struct("key", "first", "windows", "hot")).alias("found"))
+    contexts = texts.join(found, "uid").select("uid", "rank", "text", "found").mapInArrow(_context_rows(bins, width, gram), "bin bigint, n bigint, blob binary, bytes binary")
     ranges, _ = cut(contexts.repartition(F.col("bin")).mapInArrow(_range_rows(width), "uid bigint, a bigint, z bigint"), "ranges")
     remove(spark, recurring_at)
     return copies, ranges.groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("ranges")), small
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, row) with docs' columns other than the text, and rows (uid, kept, n_bytes, n_removed, n_spans): uid numbers docs' rows, kept holds the bytes that stay."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"column {id_col} must be of an integer type: texts are ordered by it")
     placed, number = numbered(docs)
     base = placed.select(F.col(number).alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).alias("_order"), F.col(text_col).alias("text"))
-    copies, ranges, small = removals(base, width, gram, "_order")
+    copies, ranges, small = removals(base, width, gram, "_order", hot)
     marked = base.select("uid", "text").join(ranges, "uid", "left").join((F.broadcast if small else lambda x: x)(copies.withColumn("copy", F.lit(True))), "uid", "left")
     cleaned = marked.select("uid", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_cleaned_rows, "uid bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
     return base.select("uid", "row"), cleaned

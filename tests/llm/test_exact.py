@@ -41,6 +41,27 @@ def test_passages(spark, awkward_table):
     assert Counter((r[0], r[1], r[2], r[3], hashlib.sha256(r[4]).hexdigest()) for r in got) == want
 
 
+def test_hot_passages(spark, tmp_path):
+    """A passage, and a line that repeats, in many texts: dealt out by second keys, with the same result."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    passage, tail = " ".join(word() for _ in range(60)), "x" * 150
+    texts = [" ".join([*(word() for _ in range(rng.randint(0, 40))), passage if k % 3 else tail * 2, *(word() for _ in range(rng.randint(0, 40)))]) for k in range(120)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    want = Counter((k, *x) for k, x in enumerate(brute_passages(texts)))
+    for gram, hot in ((32, 8), (16, 2), (32, 512)):
+        own, cleaned = passages.dedup(spark.read.parquet(str(tmp_path / "d")), gram=gram, hot=hot)
+        got = own.join(cleaned, "uid").select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
+        assert Counter((r[0], r[1], r[2], r[3], hashlib.sha256(r[4]).hexdigest()) for r in got) == want
+    data = passage.encode()
+    keys, at = passages._window_keys(np.frombuffer(data, np.uint8), 100, 32)
+    n = int((keys == keys[0]).cumprod().sum())
+    cut_up = list(passages._cut_up(5, 0, n, data[: n + 99], 100, 32))
+    assert sum(w for _, _, w, _ in cut_up) == n and all(data[a : a + w + 99] == piece for _, a, w, piece in cut_up)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["ab", "abc", "b", "qqqq", "xyzzy"]), max_size=40).map("".join), min_size=1, max_size=6))
 def test_windows_of_small_width(texts):
