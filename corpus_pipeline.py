@@ -2,6 +2,12 @@
 
 Each stage works on all that its predecessor kept, reads its documents from a table, and returns the columns of
 `documents`, but for the last, which returns each document's encoding.
+
+Defined results, for every stage: rows are judged and kept one by one, whether their id is null or repeats; an empty table
+gives an empty one; columns that a stage doesn't read come through as they were, whatever their names; n_chars follows a
+changed text. Null, empty and very short texts fail the base rules and go in the first stage; a stage that is called with
+them alone takes each as a class of its own, leaves them as they are and gives them no tokens. Of near-duplicates the least
+id stays, null ids last, of equal ids the first row; of equal passages the one of the least id, null ids first.
 """
 
 from __future__ import annotations
