@@ -90,6 +90,16 @@ def segments(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int =
     return which, keys[first], first - begin, last - first + 1, moved[last] > moved[first]
 
 
+def _portions(batch, most: int = 1 << 20):
+    """Slices of a batch (uid, text) of some MB of text at most, or of one text: what is worked on at once takes thirty times its bytes."""
+    sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _laid(texts) -> tuple[np.ndarray, np.ndarray]:
     raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw], dtype=np.int64)
@@ -131,13 +141,14 @@ def _key_rows(bins: int, width: int, gram: int):
     def run(batches):
         held, n = [], 0
         for b in batches:
-            uid = b.column(0).to_numpy()
-            which, key, first, size, twice = segments(*_laid(b.column(1)), width, gram)
-            held.append((uid[which].astype(np.int64), key, first.astype(np.uint32), np.where(twice, -size, size).astype(np.int32)))
-            n += len(which)
-            if n > 600_000:
-                yield out(held)
-                held, n = [], 0
+            for part in _portions(b):
+                uid = part.column(0).to_numpy()
+                which, key, first, size, twice = segments(*_laid(part.column(1)), width, gram)
+                held.append((uid[which].astype(np.int64), key, first.astype(np.uint32), np.where(twice, -size, size).astype(np.int32)))
+                n += len(which)
+                if n > 600_000:
+                    yield out(held)
+                    held, n = [], 0
         if n:
             yield out(held)
 
@@ -227,7 +238,7 @@ def repeated(rank: np.ndarray, uid: np.ndarray, key: np.ndarray, first: np.ndarr
     total, upto = np.cumsum(size[chosen]), 0
     stops, seen = [], 0
     for a in edge[1:]:
-        if total[a - 1] - seen > 500_000:
+        if total[a - 1] - seen > 150_000:
             stops.append(a)
             seen = total[a - 1]
     for stop in [*stops, len(chosen)] if len(chosen) else []:
@@ -274,7 +285,7 @@ def _range_rows(width: int):
         at, seen = 0, 0
         stops = []
         for p in border[1:]:
-            if total[p - 1] - seen > 2 << 20:
+            if total[p - 1] - seen > 1 << 19:
                 stops.append(int(p))
                 seen = total[p - 1]
         for stop in [*stops, len(order)]:
@@ -291,7 +302,7 @@ def _range_rows(width: int):
 
 
 def _cleaned_rows(batches):
-    """rows (id, text, copy, ranges) -> rows (id, text, bytes kept, n_bytes, n_removed, n_spans)."""
+    """rows (uid, text, copy, ranges) -> rows (uid, bytes kept, n_bytes, n_removed, n_spans)."""
     for b in batches:
         rows = []
         for i, text, copy, ranges in zip(*(b.column(k) for k in range(4)), strict=True):
@@ -340,16 +351,28 @@ def removals(base: DataFrame, width: int = WIDTH, gram: int = GRAM, order_col: s
     return copies, ranges.groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("ranges")), small
 
 
+def _cleaned_texts(batches):
+    """rows (uid, text, copy, ranges) -> rows (uid, text, n): the bytes that stay as text, and its characters."""
+    for b in _cleaned_rows(batches):
+        texts = [x.as_py().decode("utf-8", "ignore") for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["uid", "text", "n"])
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Rows (uid, row) with docs' columns other than the text, and rows (uid, kept, n_bytes, n_removed, n_spans): uid numbers docs' rows, kept holds the bytes that stay."""
+    rows, marked = _marked(docs, id_col, text_col, width, gram, hot)
+    return rows, marked.mapInArrow(_cleaned_rows, "uid bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Rows (uid, row) as dedup() gives them, and rows (uid, text, copy, ranges): what to remove of each text."""
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"column {id_col} must be of an integer type: texts are ordered by it")
     placed, number = numbered(docs)
     base = placed.select(F.col(number).alias("uid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).alias("_order"), F.col(text_col).alias("text"))
     copies, ranges, small = removals(base, width, gram, "_order", hot)
     marked = base.select("uid", "text").join(ranges, "uid", "left").join((F.broadcast if small else lambda x: x)(copies.withColumn("copy", F.lit(True))), "uid", "left")
-    cleaned = marked.select("uid", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_cleaned_rows, "uid bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
-    return base.select("uid", "row"), cleaned
+    return base.select("uid", "row"), marked.select("uid", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges")
 
 
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,14 +383,8 @@ def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_col: str = "n_chars") -> DataFrame:
     """docs with the removed bytes gone from their texts; texts left empty stay as rows. Bytes that no longer form a character are dropped."""
-    rows, cleaned = dedup(docs, id_col, text_col)
-
-    def run(batches):
-        for b in batches:
-            texts = [x.as_py().decode("utf-8", "ignore") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["uid", "_text", "_n"])
-
-    texts = cleaned.select("uid", "kept").mapInArrow(run, "uid bigint, _text string, _n bigint")
+    rows, marked = _marked(docs, id_col, text_col)
+    texts = marked.mapInArrow(_cleaned_texts, "uid bigint, text string, n bigint").withColumnsRenamed({"text": "_text", "n": "_n"})
     joined = rows.join(texts, "uid")
     pick = lambda c: F.col("_text").alias(c) if c == text_col else F.col("_n").alias(c) if c == n_col else F.col("row")[c].alias(c)
     return joined.select(*(pick(c) for c in docs.columns))
