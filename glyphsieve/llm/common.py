@@ -15,7 +15,7 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bounded(spark: SparkSession, most: int = 8 << 20) -> None:
+def bounded(spark: SparkSession, most: int = 4 << 20) -> None:
     """Let no Arrow batch carry more than most bytes: with long texts, batches set what a Python worker needs."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, f"{64 << 20}b").lower().rstrip("b")

@@ -109,6 +109,11 @@ def _blob(*columns: np.ndarray) -> bytes:
     return pa.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), codec="zstd", asbytes=True)
 
 
+def _thrifty() -> None:
+    """Let Arrow's freed buffers go back to the system: blobs come and go, and a worker that keeps them grows by all of them."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def _unblob(data: bytes, n: int, *types: str) -> list[np.ndarray]:
     size = sum(np.dtype(t).itemsize for t in types) * n
     raw, out, at = pa.decompress(data, size, codec="zstd", asbytes=True), [], 0
@@ -139,6 +144,7 @@ def _key_rows(bins: int, width: int, gram: int):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bin", "n", "blob"])
 
     def run(batches):
+        _thrifty()
         held, n = [], 0
         for b in batches:
             for part in _portions(b):
@@ -146,7 +152,7 @@ def _key_rows(bins: int, width: int, gram: int):
                 which, key, first, size, twice = segments(*_laid(part.column(1)), width, gram)
                 held.append((uid[which].astype(np.int64), key, first.astype(np.uint32), np.where(twice, -size, size).astype(np.int32)))
                 n += len(which)
-                if n > 600_000:
+                if n > 200_000:
                     yield out(held)
                     held, n = [], 0
         if n:
@@ -159,6 +165,7 @@ def _recurring_rows(most: int):
     """rows (bin, n, blob) of whole bins -> rows (uid, key, first, windows, hot) of the segments whose key occurs twice; hot: in `most` segments or more."""
 
     def run(batches):
+        _thrifty()
         parts = [_unblob(x.as_py(), n.as_py(), "u8", "i8", "u4", "i4") for b in batches for n, x in zip(b.column(1), b.column(2), strict=True)]
         if not parts:
             return
@@ -199,6 +206,7 @@ def _context_rows(bins: int, width: int, gram: int):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["bin", "n", "blob", "bytes"])
 
     def run(batches):
+        _thrifty()
         held, weight = [], 0
         for b in batches:
             for uid, rank, text, found in zip(*(b.column(k) for k in range(4)), strict=True):
@@ -209,7 +217,7 @@ def _context_rows(bins: int, width: int, gram: int):
                     for part in parts:
                         held.append((rank, uid, *part))
                         weight += len(part[3]) + 64
-                if weight > 16 << 20:
+                if weight > 6 << 20:
                     yield out(held)
                     held, weight = [], 0
         if held:
@@ -264,6 +272,7 @@ def _range_rows(width: int):
     """rows (bin, n, blob, bytes) of whole bins -> rows (uid, a, z): byte ranges to remove."""
 
     def run(batches):
+        _thrifty()
         heads, bodies = [], []
         for b in batches:
             for n, blob, raw in zip(b.column(1), b.column(2), b.column(3), strict=True):
