@@ -94,8 +94,8 @@ def _frequencies(spark: SparkSession, d: str) -> DataFrame:
 def _cases(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents: low quality stands for gibberish, a weak label of this repository's choosing."""
     marks = table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("expected"))
-    cases = table(spark, d, "documents").select("doc_id", "text", "lang", "source").join(marks, "doc_id")
-    return evaluate.predictions(spread(cases), list(EVALUATED))
+    cases = spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")).join(marks, "doc_id")
+    return evaluate.predictions(cases, list(EVALUATED))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
