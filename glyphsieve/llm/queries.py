@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import bpe, classifier, decontaminate, html, language, minhash, passages, quality_rules, toxicity, warc
+from . import bpe, classifier, decontaminate, html, language, minhash, oracles, passages, quality_rules, toxicity, warc
 from .common import bounded
 
 
@@ -26,6 +26,9 @@ _ALL = (
 QUERIES = {q.__name__: _bounded(q) for q in _ALL}
 
 SQL = {
+    "op1_passages": oracles.OP1_SQL,
+    "op4_quality_rules": oracles.OP4_SQL,
+    "op6_near_duplicates": oracles.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
 }
